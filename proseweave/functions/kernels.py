@@ -46,60 +46,81 @@ def relaxed_transport(costs: np.ndarray, wa: np.ndarray, wb: np.ndarray) -> floa
 
 
 def exact_transport(costs: np.ndarray, wa: np.ndarray, wb: np.ndarray) -> float:
-    """Optimal transport cost by successive cheapest augmenting paths.
+    """Optimal transport cost by the transportation simplex.
 
-    Weights are relative counts, so they are scaled to integers first (each side counts repeats of
-    the other side's length) and every augmentation moves at least one unit: it always ends.
+    Counts are scaled to equal integer totals and shifted by the usual tiny perturbation, which
+    rules out degenerate pivots and therefore cycling. The optimum is read off the dual prices.
     """
-    na, nb = int(round(wa.sum())), int(round(wb.sum()))
-    supply = np.round(wa).astype(np.int64) * nb
-    demand = np.round(wb).astype(np.int64) * na
     m, n = costs.shape
-    flow = np.zeros((m, n), dtype=np.int64)
-    pot_a, pot_b = np.zeros(m), costs.min(axis=0)
-    pot_b = pot_b.copy()
-    while supply.sum() > 0:
-        # shortest distances over the residual graph with reduced costs, dense Dijkstra
-        dist_a = np.where(supply > 0, 0.0, np.inf)
-        dist_b = np.full(n, np.inf)
-        from_a, from_b = np.full(m, -1), np.full(n, -1)
-        open_a, open_b = np.ones(m, bool), np.ones(n, bool)
-        reduced = np.maximum(costs + pot_a[:, None] - pot_b[None, :], 0.0)
-        target = -1
-        while True:
-            ka = np.where(open_a, dist_a, np.inf)
-            kb = np.where(open_b, dist_b, np.inf)
-            i, j = int(ka.argmin()), int(kb.argmin())
-            if ka[i] <= kb[j]:
-                open_a[i] = False
-                better = open_b & (ka[i] + reduced[i] < dist_b)
-                dist_b[better] = ka[i] + reduced[i][better]
-                from_b[better] = i
+    a, b = np.round(wa).astype(np.int64), np.round(wb).astype(np.int64)
+    ta, tb = int(a.sum()), int(b.sum())
+    supply = [int(x) * tb * (m + 1) + 1 for x in a]
+    demand = [int(x) * ta * (m + 1) for x in b]
+    demand[-1] += m
+    flow: dict[tuple[int, int], int] = {}
+    left_s, left_d = supply[:], demand[:]
+    for cell in np.argsort(costs, axis=None, kind="stable"):  # start: cheapest cells first
+        i, j = divmod(int(cell), n)
+        x = min(left_s[i], left_d[j])
+        if x:
+            flow[i, j] = x
+            left_s[i] -= x
+            left_d[j] -= x
+    near: list[set[int]] = [set() for _ in range(m + n)]
+    for i, j in flow:
+        near[i].add(m + j)
+        near[m + j].add(i)
+    for first in range(1, m + n):  # cells emptied together would leave the tree in parts
+        if len(flow) == m + n - 1:
+            break
+        _bridge(flow, near, m, n)
+    price = np.zeros(m + n)
+    while True:
+        up, depth = [-1] * (m + n), [0] * (m + n)
+        order = [0]
+        price[0] = 0.0
+        for v in order:
+            for w in near[v]:
+                if w != up[v]:
+                    up[w], depth[w] = v, depth[v] + 1
+                    price[w] = (costs[v, w - m] if v < m else costs[w, v - m]) - price[v]
+                    order.append(w)
+        reduced = costs - price[:m, None] - price[None, m:]
+        i, j = divmod(int(reduced.argmin()), n)
+        if reduced[i, j] >= -1e-12:
+            return float((a * tb) @ price[:m] + (b * ta) @ price[m:]) / (ta * tb)
+        from_j, from_i, x, y = [], [], m + j, i
+        while x != y:
+            if depth[x] >= depth[y]:
+                from_j.append((x, up[x]))
+                x = up[x]
             else:
-                open_b[j] = False
-                if demand[j] > 0:
-                    target = j
-                    break
-                back = open_a & (flow[:, j] > 0) & (kb[j] < dist_a)
-                dist_a[back] = kb[j]
-                from_a[back] = j
-        reach = dist_b[target]
-        pot_a += np.minimum(dist_a, reach)
-        pot_b += np.minimum(dist_b, reach)
-        path, j = [], target
-        while True:
-            i = int(from_b[j])
-            path.append((i, j, 1))
-            if from_a[i] < 0:
-                break
-            j = int(from_a[i])
-            path.append((i, j, -1))
-        amount = min(int(supply[i]), int(demand[target]))
-        for x, y, sign in path:
-            if sign < 0:
-                amount = min(amount, int(flow[x, y]))
-        for x, y, sign in path:
-            flow[x, y] += sign * amount
-        supply[i] -= amount
-        demand[target] -= amount
-    return float((flow * costs).sum()) / (na * nb)
+                from_i.append((up[y], y))
+                y = up[y]
+        loop = [(min(p), max(p) - m) for p in from_j + from_i[::-1]]
+        out = min(loop[::2], key=lambda e: flow[e])
+        amount = flow[out]
+        for k, e in enumerate(loop):
+            flow[e] += amount if k % 2 else -amount
+        del flow[out]
+        flow[i, j] = amount
+        near[out[0]].discard(m + out[1])
+        near[m + out[1]].discard(out[0])
+        near[i].add(m + j)
+        near[m + j].add(i)
+
+
+def _bridge(flow: dict, near: list[set[int]], m: int, n: int) -> None:
+    """Connect two parts of the basis with an empty cell."""
+    seen, order = {0}, [0]
+    for v in order:
+        for w in near[v]:
+            if w not in seen:
+                seen.add(w)
+                order.append(w)
+    rest = [v for v in range(m + n) if v not in seen]
+    v = rest[0]
+    u = next(x for x in order if (x < m) != (v < m))
+    flow[min(u, v), max(u, v) - m] = 0
+    near[u].add(v)
+    near[v].add(u)

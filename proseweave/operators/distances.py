@@ -38,19 +38,41 @@ def _check(metric: str) -> None:
 
 
 # --- one payload against another -----------------------------------------------------------
+#
+# A block of sentences travels to Python as three flat arrays: values, weights, and how many values
+# rows belong to each sentence. Flat arrays cross Arrow without per-row objects.
 
 
-def _matrix(items) -> np.ndarray:
-    return np.asarray([np.asarray(v, dtype=float) for v in items], dtype=float)
+def _packed(metric: str, items: Column) -> list[Column]:
+    """Columns (values, weights, sizes) of an array of payloads."""
+    none = F.array().cast("array<double>")
+    if metric == "cosine":
+        return [F.flatten(items), none, F.transform(items, lambda x: F.lit(1))]
+    sizes = F.transform(items, lambda x: F.size(x))
+    if metric == "jaccard":
+        return [F.flatten(items), none, sizes]
+    words = F.flatten(items)
+    return [F.flatten(words["vec"]), F.transform(words, lambda w: w["n"].cast("double")), sizes]
+
+
+def _unpack(metric: str, values, weights, sizes):
+    stops = np.cumsum(np.asarray(sizes, dtype=np.int64))
+    if metric == "jaccard":
+        return [list(values[e - k : e]) for e, k in zip(stops, sizes)]
+    rows = int(stops[-1]) if len(stops) else 0
+    m = np.asarray(values, dtype=float).reshape(rows, -1) if rows else np.zeros((0, 0))
+    if metric == "cosine":
+        return m
+    w = np.asarray(weights, dtype=float)
+    return [(m[e - k : e], w[e - k : e]) for e, k in zip(stops, sizes)]
 
 
 def _mover(a, b, exact: bool) -> float:
-    """Half the word-mover distance of two word lists; NaN when a side has no known word."""
-    if a is None or b is None or len(a) == 0 or len(b) == 0:
+    """Half the word-mover distance of two (vectors, counts); NaN when a side has no known word."""
+    (va, wa), (vb, wb) = a, b
+    if len(wa) == 0 or len(wb) == 0:
         return float("nan")
-    costs = K.word_costs(_matrix([w["vec"] for w in a]), _matrix([w["vec"] for w in b]))
-    wa = np.array([w["n"] for w in a], float)
-    wb = np.array([w["n"] for w in b], float)
+    costs = K.word_costs(va, vb)
     if exact:
         return max(0.0, K.exact_transport(costs, wa, wb) / 2)
     return max(0.0, K.relaxed_transport(costs, wa / wa.sum(), wb / wb.sum()) / 2)
@@ -58,47 +80,33 @@ def _mover(a, b, exact: bool) -> float:
 
 def _tile_values(metric: str, left, right, same: bool) -> np.ndarray:
     """Distances of one tile as a flat array: i < j inside a block, all pairs across blocks."""
+    a, b = _unpack(metric, *left), _unpack(metric, *right)
     if metric == "cosine":
-        d = K.cosine_tile(_matrix(left), _matrix(right))
+        d = K.cosine_tile(a, b)
     elif metric == "jaccard":
-        d = K.jaccard_tile([list(t) for t in left], [list(t) for t in right])
+        d = K.jaccard_tile(a, b)
     else:
-        exact = metric == "wmd"
-        d = np.full((len(left), len(right)), np.nan)
-        for i, a in enumerate(left):
-            for j, b in enumerate(right):
-                if not same or i < j:
-                    d[i, j] = _mover(a, b, exact)
-    return d[np.triu_indices(len(left), k=1)] if same else d.ravel()
+        d = np.full((len(a), len(b)), np.nan)
+        for i, x in enumerate(a):
+            for j in range(i + 1 if same else 0, len(b)):
+                d[i, j] = _mover(x, b[j], metric == "wmd")
+    return d[np.triu_indices(len(a), k=1)] if same else d.ravel()
 
 
 def pair_distance(metric: str, a: Column, b: Column) -> Column:
-    """Distance of two payload columns of the same row (Jaccard gives a similarity)."""
+    """Distance of two payload columns of the same row (Jaccard gives a similarity), null when
+    undefined."""
     _check(metric)
     if metric == "cosine":
         return V.cosine_distance(a, b)
-    if metric == "jaccard":
-        return _jaccard_pair(a, b)
-    return _mover_pair(metric == "wmd")(a, b)
-
-
-def _jaccard_pair(a: Column, b: Column) -> Column:
-    @F.pandas_udf("double")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(
-            [None if p is None or q is None else K.multiset_jaccard(list(p), list(q)) for p, q in zip(x, y)],
-            dtype=float,
-        )
-
-    return F.when(a.isNotNull() & b.isNotNull(), run(a, b))
-
 
-def _mover_pair(exact: bool):
     @F.pandas_udf("double")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_mover(p, q, exact) for p, q in zip(x, y)], dtype=float)
+    def run(x: pd.Series, xw: pd.Series, xs: pd.Series, y: pd.Series, yw: pd.Series, ys: pd.Series) -> pd.Series:
+        out = [_tile_values(metric, (p, pw, ps), (q, qw, qs), False)[0] for p, pw, ps, q, qw, qs in zip(x, xw, xs, y, yw, ys)]
+        return pd.Series(out, dtype=float)
 
-    return lambda a, b: F.nanvl(run(a, b), F.lit(None).cast("double"))
+    value = run(*_packed(metric, F.array(a)), *_packed(metric, F.array(b)))
+    return F.nanvl(value, F.lit(None).cast("double"))
 
 
 # --- consecutive ---------------------------------------------------------------------------
@@ -209,12 +217,12 @@ def tiles(long: DataFrame, payload: str, key: str = KEY, pos: str = POS, block:
     return lone.unionByName(spread)
 
 
-def _tile_stats(metric: str):
+def _tile_stats(metric: str, left: Column, right: Column, same: Column) -> Column:
     @F.pandas_udf("n long, nan long, s double, ss double, lo double, hi double, med double")
-    def run(left: pd.Series, right: pd.Series, same: pd.Series) -> pd.DataFrame:
+    def run(x: pd.Series, xw: pd.Series, xs: pd.Series, y: pd.Series, yw: pd.Series, ys: pd.Series, one: pd.Series) -> pd.DataFrame:
         rows = []
-        for a, b, s in zip(left, right, same):
-            d = _tile_values(metric, a, b, bool(s))
+        for p, pw, ps, q, qw, qs, o in zip(x, xw, xs, y, yw, ys, one):
+            d = _tile_values(metric, (p, pw, ps), (q, qw, qs), bool(o))
             bad = int(np.isnan(d).sum())
             good = d[~np.isnan(d)] if bad else d
             if good.size:
@@ -223,32 +231,26 @@ def _tile_stats(metric: str):
                 rows.append((d.size, bad, 0.0, 0.0, np.nan, np.nan, np.nan))
         return pd.DataFrame(rows, columns=["n", "nan", "s", "ss", "lo", "hi", "med"])
 
-    return run
+    return run(*_packed(metric, left), *_packed(metric, right), same)
 
 
-def _tile_cells(metric: str):
-    """Histogram cells of one tile inside [lo, lo + width): index and count of non-empty cells."""
+def _tile_cells(metric: str, left: Column, right: Column, same: Column, lo: Column, width: Column) -> Column:
+    """Histogram cells of one tile inside [lo, lo + width): index, count and extremes of each
+    non-empty cell."""
 
     @F.pandas_udf("array<struct<cell int, n long, low double, high double>>")
-    def run(left: pd.Series, right: pd.Series, same: pd.Series, lo: pd.Series, width: pd.Series) -> pd.Series:
+    def run(x: pd.Series, xw: pd.Series, xs: pd.Series, y: pd.Series, yw: pd.Series, ys: pd.Series, one: pd.Series, lo: pd.Series, width: pd.Series) -> pd.Series:
         out = []
-        for a, b, s, l, w in zip(left, right, same, lo, width):
-            d = _tile_values(metric, a, b, bool(s))
-            d = d[(d >= l) & (d < l + w)]
+        for p, pw, ps, q, qw, qs, o, l, w in zip(x, xw, xs, y, yw, ys, one, lo, width):
+            d = _tile_values(metric, (p, pw, ps), (q, qw, qs), bool(o))
+            d = np.sort(d[(d >= l) & (d < l + w)])
             cell = np.minimum(((d - l) / w * BINS).astype(np.int64), BINS - 1)
-            order = np.argsort(cell, kind="stable")
-            cell, d = cell[order], d[order]
             ids, start = np.unique(cell, return_index=True)
             stop = np.append(start[1:], len(cell))
-            out.append(
-                [
-                    {"cell": int(c), "n": int(y - x), "low": float(d[x:y].min()), "high": float(d[x:y].max())}
-                    for c, x, y in zip(ids, start, stop)
-                ]
-            )
+            out.append([{"cell": int(c), "n": int(e - s), "low": float(d[s]), "high": float(d[e - 1])} for c, s, e in zip(ids, start, stop)])
         return pd.Series(out)
 
-    return run
+    return run(*_packed(metric, left), *_packed(metric, right), same, lo, width)
 
 
 def _order_statistic(tiles_df: DataFrame, targets: DataFrame, metric: str, key: str, tol: float = 1e-12) -> DataFrame:
@@ -259,7 +261,7 @@ def _order_statistic(tiles_df: DataFrame, targets: DataFrame, metric: str, key:
     for _ in range(4):
         cells = (
             tiles_df.join(search, key)
-            .select(key, "k", "lo", "width", "below", F.explode(_tile_cells(metric)("left", "right", "same", "lo", "width")).alias("c"))
+            .select(key, "k", "lo", "width", "below", F.explode(_tile_cells(metric, *map(F.col, ("left", "right", "same", "lo", "width")))).alias("c"))
             .groupBy(key, "k", "lo", "width", "below", "c.cell")
             .agg(F.sum("c.n").alias("n"), F.min("c.low").alias("low"), F.max("c.high").alias("high"))
         )
@@ -297,7 +299,7 @@ def pair_summary(long: DataFrame, metric: str = "cosine", key: str = KEY, pos: s
     t = tiles(rows, p, key, pos, block)
     if max_rows is not None:
         t = t.where(F.col("lone") & (F.size("left") <= max_rows))
-    parts = t.select(key, "lone", F.size("left").alias("rows"), _tile_stats(metric)("left", "right", "same").alias("t"))
+    parts = t.select(key, "lone", F.size("left").alias("rows"), _tile_stats(metric, F.col("left"), F.col("right"), F.col("same")).alias("t"))
     single = F.max(F.col("lone") & (F.col("rows") == 1))
     stats = parts.groupBy(key).agg(
         single.alias("single"),

@@ -153,6 +153,14 @@ def running_sum(df: DataFrame, key: str, pos: str, value: str, out: str, block:
     )
 
 
+def dense_positions(df: DataFrame, key: str, order: str, out: str = "pos") -> DataFrame:
+    """0-based position without gaps by a unique integer ``order`` within ``key``."""
+    counted = running_sum(df.withColumn("_one", F.lit(1.0)), key, order, "_one", "_run")
+    return counted.withColumn("_p", (F.col("_run") - 1).cast("bigint")).drop("_one", "_run").select(
+        *[c for c in df.columns if c != out], F.col("_p").alias(out)
+    )
+
+
 def smallest_by_hash(df: DataFrame, group: str | None, row_id: str, k: Column, seed: str) -> DataFrame:
     """Keep the ``k`` rows per group with the smallest md5 of (id, seed); ``k`` may use ``_total``
     (rows of the group). md5 is uniform, so its first 12 bits are equal-size buckets: whole

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The word lists and patterns of the rule-based sentence splitter. Results depend
@@ -22,6 +24,22 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _DOT_RUN = "<mrd>"  # our own marker: dots of an ellipsis while the run is rewritten
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind ``value`` to a variable, so that ``body`` may use it many times (also inside lambdas) and it
+    is still computed once per row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later steps reference freely. The one-element explode keeps the
+    optimizer from inlining the expression into every place it is used."""
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
+def with_sentences(df: DataFrame, text: str, out: str = "sentences") -> DataFrame:
+    return once(df, out, sentences(F.col(text)))
+
+
 def split_rules() -> list[tuple[bool, str, str]]:
     """The splitter as data: (is_regex, search, replacement), to be applied in this order."""
     l, p, s = LETTER, KEEP_DOT, BREAK
@@ -78,12 +96,9 @@ def sentences(text: Column) -> Column:
         else:
             t = F.replace(t, F.lit(search), F.lit(repl))
     parts = F.transform(F.split(t, BREAK, -1), _trim)
-    # one-variable transform, so that the long chain above is evaluated once
-    trimmed = F.transform(
-        F.array(parts),
-        lambda a: F.when(F.element_at(a, -1) == "", F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a),
+    return let(
+        parts, lambda a: F.when(F.element_at(a, -1) == "", F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)
     )
-    return F.element_at(trimmed, 1)
 
 
 def spoken_sentences(text: Column) -> Column:
@@ -119,14 +134,11 @@ def period_pieces(text: Column) -> Column:
 
 def tidy_generated(text: Column) -> Column:
     """Drop an unfinished last sentence, delete special characters, join with periods."""
-    whole = F.element_at(
-        F.transform(
-            F.array(sentences(text)),
-            lambda a: F.when(F.size(a) == 0, a)
-            .when(F.endswith(F.element_at(a, -1), F.lit(".")), a)
-            .otherwise(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))),
-        ),
-        1,
+    whole = let(
+        sentences(text),
+        lambda a: F.when(F.size(a) == 0, a)
+        .when(F.endswith(F.element_at(a, -1), F.lit(".")), a)
+        .otherwise(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))),
     )
     stripped = F.transform(whole, lambda s: F.regexp_replace(s, r"(?U)[^a-zA-Z0-9\s]", ""))
     return F.replace(F.array_join(stripped, "."), F.lit("\n"), F.lit(" "))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -25,8 +27,7 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """Vector of length one; null for the zero vector."""
-    pairs = F.transform(F.array(norm(a)), lambda n: F.when(n > 0, F.transform(a, lambda x: x / n)))
-    return F.element_at(pairs, 1)
+    return let(norm(a), lambda n: F.when(n > 0, F.transform(a, lambda x: x / n)))
 
 
 def euclidean(a: Column, b: Column) -> Column:

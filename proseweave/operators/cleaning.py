@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -75,8 +76,6 @@ def category_codes(df: DataFrame, column: str, out: str) -> DataFrame:
 
     Only the distinct values meet in one window, counts of rows do not matter.
     """
-    from pyspark.sql import Window as W
-
     codes = (
         df.select(column).where(F.col(column).isNotNull()).distinct()
         .withColumn(out, F.row_number().over(W.orderBy(column)) - 1)
@@ -87,10 +86,8 @@ def category_codes(df: DataFrame, column: str, out: str) -> DataFrame:
 def lexical_repetition(df: DataFrame, score: str, out: str = "has_lexical_repetition") -> DataFrame:
     """1 when the score is above the median of the positive scores."""
     positive = df.where(F.col(score) > 0).select(F.lit(score).alias("feature"), F.col(score).alias("value"))
-    median = exact_quantiles(positive, {"_median": 0.5}).select("_median")  # one row
-    return df.join(F.broadcast(median), how="left").withColumn(
-        out, F.coalesce((F.col(score) > F.col("_median")).cast("int"), F.lit(0))
-    ).drop("_median")
+    median = exact_quantiles(positive, {"median": 0.5}).select("median").scalar()
+    return df.withColumn(out, F.coalesce((F.col(score) > median).cast("int"), F.lit(0)))
 
 
 def without_infinite(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -98,12 +98,19 @@ def exact_quantiles(long: DataFrame, probs: dict[str, float], group: str = "feat
     return ranks.groupBy(group).agg(*out)
 
 
-def replace_by_ranks(long: DataFrame, row_key: list[str], group: str = "feature", value: str = "value") -> DataFrame:
-    """Long rows with ``rank`` added. The join key may be hot (a value shared by many rows); it is a
-    sort-merge or broadcast join on the deduplicated rank table, which AQE splits when skewed."""
-    ranks = rank_table(long, group, value).select(group, F.col(value).alias("_v"), "avg_rank")
-    left = long.withColumn("_v", F.col(value).cast("double"))
-    return left.join(ranks, [group, "_v"]).select(*row_key, group, value, F.col("avg_rank").alias("rank"))
+def with_ranks(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add average ranks (``columns``: source -> new name); null where the value is missing.
+
+    One rank pass for all columns, then one equi-join per column on the value. A column of few
+    distinct values has a tiny rank table, which Spark broadcasts by measured size; a value shared by
+    many rows is a skewed join key, which AQE splits.
+    """
+    ranks = rank_table(melt(df, [], list(columns)))
+    out = df
+    for c, new in columns.items():
+        r = ranks.where(F.col("feature") == c).select(F.col("value").alias("_v"), F.col("avg_rank").alias(new))
+        out = out.join(r, F.col(f"`{c}`").cast("double") == F.col("_v"), "left").drop("_v")
+    return out
 
 
 def melt(df: DataFrame, keys: list[str], columns: list[str], name: str = "feature", value: str = "value") -> DataFrame:

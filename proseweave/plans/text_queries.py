@@ -148,7 +148,7 @@ def _pair(df):
 
 
 def flagged(spark, d):
-    base = C.drop_linked(V.stories(spark, d)).withColumn("sentences", T.sentences(c("altered_text")))
+    base = T.with_sentences(C.drop_linked(V.stories(spark, d)), "altered_text")
     return C.with_flags(_pair(base), index="idx")
 
 

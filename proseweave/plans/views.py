@@ -56,9 +56,9 @@ def word_vectors(spark: SparkSession, d: str, tokens: DataFrame) -> DataFrame:
     vecs = table(spark, d, "embeddings").select(
         F.col("vec_id").alias("slot"), F.col("embedding").cast("array<double>").alias("vec")
     )
-    n = vecs.agg(F.count(F.lit(1)).alias("n_vec"))  # one row
+    n = vecs.agg(F.count(F.lit(1)).alias("n_vec")).scalar()
     words = tokens.select(F.explode("tokens").alias("token")).distinct().where(F.length("token") > 1)
-    slotted = words.crossJoin(F.broadcast(n)).select("token", vector_slot(F.col("token"), F.col("n_vec")).alias("slot"))
+    slotted = words.select("token", vector_slot(F.col("token"), n).alias("slot"))
     return slotted.join(vecs, "slot").select("token", "vec")
 
 

@@ -1,4 +1,174 @@
-"""Registered queries."""
+"""Registered queries: classifier evaluation, splits, matching, training."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import evaluation as EV
+from ..operators import learn as LN
+from ..operators import matching as MT
+from . import views as V
+
+c = F.col
+
+
+def _cm(spark, d):
+    return EV.confusion(V.predictions(spark, d), V.CLASSES)
+
+
+def confusion(spark, d):
+    return _cm(spark, d)
+
+
+def confusion_shares(spark, d):
+    return EV.normalised(_cm(spark, d)).select("true", "pred", F.round("share", 6).alias("share"))
+
+
+def class_report(spark, d):
+    r = EV.class_report(_cm(spark, d))
+    return r.select("label", *[F.round(x, 6).alias(x) for x in ("precision", "recall", "f1")], "support")
+
+
+def accuracy_f1(spark, d):
+    return EV.accuracy_f1(_cm(spark, d)).select(F.round("accuracy", 6).alias("accuracy"), F.round("f1_score", 6).alias("f1_score"))
+
+
+def adjusted_errors(spark, d):
+    return EV.adjusted_errors(_cm(spark, d)).select("category", "errors", "possible", F.round("rate", 6).alias("rate"))
+
+
+def error_shares(spark, d):
+    return EV.error_shares(_cm(spark, d)).select("category", "errors", F.round("share", 6).alias("share"))
+
+
+def context_auc(spark, d):
+    return EV.context_auc(_cm(spark, d)).select("context", F.round("auc", 6).alias("auc"))
+
+
+def undersampled(spark, d):
+    return EV.undersample(V.predictions(spark, d).select("doc_id", "true"), "true", "doc_id")
+
+
+def group_split(spark, d):
+    return EV.group_split(V.predictions(spark, d).select("doc_id", "source"), "source")
+
+
+def band_filter(spark, d):
+    p = V.predictions(spark, d).select("doc_id", F.regexp_extract("true", "^(.*)_with", 1).alias("temperature_enc"))
+    return MT.filter_rows(p, "no_medium_temperature")[0]
+
+
+def _model_rows(spark, d):
+    """Documents with numeric features, six-class code and treatment arm."""
+    rows = V.labelled(spark, d).join(V.predictions(spark, d).select("doc_id", "true"), "doc_id")
+    code = F.array_position(F.array(*[F.lit(x) for x in V.CLASSES]), c("true")) - 1
+    return rows.select(
+        "doc_id", "source", "lang", c("toxic").cast("int").alias("toxic"), code.cast("int").alias("cat_label"),
+        F.log(c("n_chars") + 1.0).alias("size_score"), (c("n_chars") % 97 / 97.0).alias("noise_score"), (c("lang") == "en").cast("double").alias("english_score"),
+    )
+
+
+COVARIATES = ["size_score", "noise_score", "english_score"]
+
+
+def psm_match(spark, d):
+    rows = MT.propensity(_model_rows(spark, d), "toxic", COVARIATES)
+    return MT.match_nearest(rows, "doc_id", "toxic", "logit").select("treated", "control", F.round("gap", 6).alias("gap"))
+
+
+def nearest_match(spark, d):
+    """Matching of suppliers' nations: customers of two segments paired by balance."""
+    rows = V.table(spark, d, "customer").where(c("c_mktsegment").isin("BUILDING", "MACHINERY")).select(
+        "c_custkey", (c("c_mktsegment") == "BUILDING").cast("int").alias("t"), (c("c_acctbal") / 100.0).alias("s")
+    )
+    return MT.match_nearest(rows, "c_custkey", "t", "s", 0.2).select("treated", "control", F.round("gap", 6).alias("gap"))
+
+
+def forest_evaluation(spark, d):
+    sets = {"all": COVARIATES, "size": ["size_score"]}
+    t, _ = LN.train_and_evaluate(_model_rows(spark, d), sets, "cat_label", "source", 6, {"all": {"n_estimators": 10, "max_depth": 5}, "size": {"n_estimators": 10, "max_depth": 5}})
+    return t
+
+
+def boosted_evaluation(spark, d):
+    t, _ = LN.train_and_evaluate(_model_rows(spark, d), {"all": COVARIATES}, "cat_label", "source", 6, kind="boosted")
+    return t
+
+
+def permutation_importance(spark, d):
+    split = EV.group_split(_model_rows(spark, d), "source").withColumn("label", c("cat_label").cast("double"))
+    model = LN.forest({"n_estimators": 10, "max_depth": 5}).fit(LN.vectorise(split.where(~c("is_test")), COVARIATES))
+    return LN.permutation_importance(model, split.where("is_test"), COVARIATES, "doc_id", repeats=10)
+
+
+def stratified_folds(spark, d):
+    f = LN.stratified_folds(_model_rows(spark, d), "source", "cat_label")
+    return f.groupBy("fold", "cat_label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("sources"))
+
+
+def random_search(spark, d):
+    grid = {"n_estimators": [5, 10], "max_depth": [3, 5], "min_samples_split": [2], "min_samples_leaf": [1, 2], "bootstrap": [True]}
+    return LN.random_search(_model_rows(spark, d), COVARIATES, "cat_label", "source", draws=3, grid=grid)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        confusion, confusion_shares, class_report, accuracy_f1, adjusted_errors, error_shares, context_auc, undersampled, group_split,
+        band_filter, psm_match, nearest_match, forest_evaluation, boosted_evaluation, permutation_importance, stratified_folds, random_search,
+    )
+}
+
+_PRED = """p AS (SELECT doc_id, source,
+  CASE WHEN n_chars < 800 THEN 'low' WHEN n_chars < 2500 THEN 'medium' ELSE 'high' END AS tt, quality = 1 AS tp,
+  CASE WHEN n_chars < 1000 THEN 'low' WHEN n_chars < 2000 THEN 'medium' ELSE 'high' END AS pt, toxic = 0 AS pp
+  FROM documents JOIN labels USING (doc_id)),
+nm AS (SELECT *, tt || '_temperature_with_' || CASE WHEN tp THEN 'paraphrase' ELSE 'no_paraphrase' END AS "true",
+  pt || '_temperature_with_' || CASE WHEN pp THEN 'paraphrase' ELSE 'no_paraphrase' END AS pred FROM p)"""
+_CLS = """cls AS (SELECT t || '_temperature_with_' || q AS l, t, o, q = 'paraphrase' AS w FROM (VALUES ('low', 1), ('medium', 2), ('high', 3)) a(t, o), (VALUES ('paraphrase'), ('no_paraphrase')) b(q))"""
+_REP = f"""WITH {_PRED}, {_CLS},
+r AS (SELECT l AS label, (SELECT count(*) FROM nm WHERE nm."true" = l AND nm.pred = l) AS tp, (SELECT count(*) FROM nm WHERE nm.pred = l) AS pr,
+  (SELECT count(*) FROM nm WHERE nm."true" = l) AS support FROM cls),
+f AS (SELECT label, coalesce(tp / nullif(pr, 0), 0.0) AS pre, coalesce(tp / nullif(support, 0), 0.0) AS rec, coalesce(2 * tp / nullif(pr + support, 0), 0.0) AS f1, support FROM r)
+"""
+_ORD = "CASE {x} WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END"
+_ELIG = {
+    "paraphrase": "a.t = b.t AND a.w <> b.w", "temperature": "a.t <> b.t AND a.w = b.w",
+    "dissociate": "(NOT a.w AND b.w AND b.o > a.o) OR (a.w AND NOT b.w AND a.o > b.o)",
+}
+_N = lambda cond: f"(SELECT CAST(count(*) AS DOUBLE) FROM nm WHERE {cond})"
+
+
+def _auc(band: str) -> str:
+    yes, no = f"'{band}_with_paraphrase'", f"'{band}_with_no_paraphrase'"
+    p1, n1 = _N(f'"true" = {yes} AND pred = {yes}'), _N(f'"true" = {yes} AND pred = {no}')
+    n0 = _N(f'"true" = {no} AND pred = {no}')
+    p0 = _N(f'("true" = {no} AND pred = {yes}) OR ("true" NOT IN ({yes}, {no}) AND pred IN ({yes}, {no}))')
+    return f"SELECT '{band}' AS context, round(({p1} * {n0} + ({p1} * {n1} + {p0} * {n0}) / 2) / nullif(({p1} + {p0}) * ({n1} + {n0}), 0), 6) AS auc"
+
+
+ORACLES = {
+    "confusion": f"""WITH {_PRED}, {_CLS}
+SELECT a.l AS "true", b.l AS pred, (SELECT count(*) FROM nm WHERE nm."true" = a.l AND nm.pred = b.l) AS n FROM cls a, cls b""",
+    "confusion_shares": f"""WITH {_PRED}, {_CLS}
+SELECT a.l AS "true", b.l AS pred, round((SELECT count(*) FROM nm WHERE nm."true" = a.l AND nm.pred = b.l) / nullif((SELECT count(*) FROM nm WHERE nm."true" = a.l), 0), 6) AS share FROM cls a, cls b""",
+    "class_report": _REP + "SELECT label, round(pre, 6) AS precision, round(rec, 6) AS recall, round(f1, 6) AS f1, support FROM f",
+    "accuracy_f1": _REP + "SELECT round(sum(rec * support) / sum(support), 6) AS accuracy, round(sum(f1 * support) / sum(support), 6) AS f1_score FROM f",
+    "adjusted_errors": f"WITH {_PRED}, {_CLS} " + " UNION ALL ".join(
+        f"""SELECT '{k}' AS category, CAST(sum(e) AS BIGINT) AS errors, CAST(sum(s) AS BIGINT) AS possible, round(100.0 * sum(e) / sum(s), 6) AS rate FROM (
+        SELECT (SELECT count(*) FROM nm WHERE nm."true" = a.l AND nm.pred = b.l) AS e, (SELECT count(*) FROM nm WHERE nm."true" = a.l) AS s FROM cls a, cls b WHERE {w})"""
+        for k, w in _ELIG.items()
+    ),
+    "error_shares": f"WITH {_PRED} " + " UNION ALL ".join(
+        f"""SELECT '{k}' AS category, count(*) FILTER ({w}) AS errors, round(100.0 * count(*) FILTER ({w}) / count(*) FILTER (tt <> pt OR tp <> pp), 6) AS share FROM p"""
+        for k, w in {"paraphrase": "tt = pt AND tp <> pp", "temperature": "tt <> pt AND tp = pp", "both": "tt <> pt AND tp <> pp"}.items()
+    ),
+    "context_auc": f"WITH {_PRED} " + " UNION ALL ".join(_auc(b) for b in ("low_temperature", "medium_temperature", "high_temperature")),
+    "undersampled": f"""WITH {_PRED},
+r AS (SELECT doc_id, "true", row_number() OVER (PARTITION BY "true" ORDER BY md5(CAST(doc_id AS VARCHAR) || '|42')) AS k FROM nm)
+SELECT doc_id, "true" FROM r WHERE k <= (SELECT min(n) FROM (SELECT count(*) AS n FROM nm GROUP BY "true"))""",
+    "group_split": f"""WITH {_PRED},
+g AS (SELECT source, row_number() OVER (ORDER BY md5(source || '|42')) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM p))
+SELECT doc_id, source, k <= ceil(0.2 * n) AS is_test FROM p JOIN g USING (source)""",
+    "band_filter": f"WITH {_PRED} SELECT doc_id, tt || '_temperature' AS temperature_enc FROM p WHERE tt <> 'medium'",
+}

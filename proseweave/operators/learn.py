@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.rowstats import columns_matching
 from .evaluation import accuracy_f1, confusion, group_split
@@ -133,7 +134,8 @@ def stratified_folds(df: DataFrame, group: str, target: str, k: int = 3) -> Data
         best = min(spread)[2]
         load[best] += counts[g]
         fold_of[g] = best
-    table = df.sparkSession.createDataFrame(list(fold_of.items()), hist.select(group).schema.add("fold", "int"))
+    schema = T.StructType([hist.schema[group], T.StructField("fold", T.IntegerType())])
+    table = df.sparkSession.createDataFrame(list(fold_of.items()), schema)
     return df.join(table, group)
 
 

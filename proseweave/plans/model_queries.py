@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import cca as CC
 from ..operators import evaluation as EV
+from ..operators import feature_groups as FG
 from ..operators import learn as LN
 from ..operators import matching as MT
 from . import views as V
@@ -111,11 +113,71 @@ def random_search(spark, d):
     return LN.random_search(_model_rows(spark, d), COVARIATES, "cat_label", "source", draws=3, grid=grid)
 
 
+XS, YS = ["l_quantity", "l_extendedprice"], ["l_discount", "l_tax", "l_linenumber"]
+
+
+def _blocks(spark, d):
+    """Orders with averaged line features in two blocks."""
+    l = V.table(spark, d, "lineitem")
+    return l.groupBy("l_orderkey").agg(*[F.avg(x).alias(x) for x in (*XS, *YS)])
+
+
+def sparse_cca(spark, d):
+    return CC.nested_search(_blocks(spark, d), XS, YS, "l_orderkey", {"alpha": [0.001, 0.01], "l1_ratio": [0.5, 1], "latent_dimensions": [1, 2]})["folds"]
+
+
+def _variates(spark, d):
+    import numpy as np
+
+    return CC.variates(_blocks(spark, d), XS, YS, np.array([[1.0], [0.001]]), np.array([[1.0], [2.0], [0.0]]))
+
+
+def canonical_loadings(spark, d):
+    t = CC.loadings(_variates(spark, d), [*XS, *YS], ["u1", "v1"])
+    return t.select("x", "y", "n", F.round("r", 6).alias("r"))
+
+
+def permutation_pvalue(spark, d):
+    return CC.permutation_test(_variates(spark, d), "l_orderkey", 1, permutations=20)
+
+
+FEATS = V.FEATURES
+
+
+def feature_clusters(spark, d):
+    return FG.by_clustering(V.features(spark, d), FEATS, threshold=0.9, method="pearson")
+
+
+def _scaled(spark, d):
+    return V.features(spark, d).select((c("l_quantity") / 50).alias("q"), (c("l_extendedprice") / 1e5).alias("p"), (c("l_discount") * 10).alias("d"), (c("l_tax") * 12.5).alias("t"))
+
+
+def _loads(t):
+    return t.select("component", "feature", F.round("loading", 5).alias("loading"), "selected")
+
+
+def feature_pca(spark, d):
+    return _loads(FG.by_pca(_scaled(spark, d), ["q", "p", "d", "t"], 2, 0.2))
+
+
+def feature_factors(spark, d):
+    return _loads(FG.by_factor_analysis(_scaled(spark, d), ["q", "p", "d", "t"], 2, 0.4))
+
+
+def feature_ica(spark, d):
+    return _loads(FG.by_ica(_scaled(spark, d), ["q", "p", "d", "t"], 2, 0.5, steps=15))
+
+
+def feature_nmf(spark, d):
+    return _loads(FG.by_nmf(_scaled(spark, d), ["q", "p", "d", "t"], 2, 0.4, steps=10))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         confusion, confusion_shares, class_report, accuracy_f1, adjusted_errors, error_shares, context_auc, undersampled, group_split,
         band_filter, psm_match, nearest_match, forest_evaluation, boosted_evaluation, permutation_importance, stratified_folds, random_search,
+        sparse_cca, canonical_loadings, permutation_pvalue, feature_clusters, feature_pca, feature_factors, feature_ica, feature_nmf,
     )
 }
 
@@ -170,5 +232,10 @@ SELECT doc_id, "true" FROM r WHERE k <= (SELECT min(n) FROM (SELECT count(*) AS
     "group_split": f"""WITH {_PRED},
 g AS (SELECT source, row_number() OVER (ORDER BY md5(source || '|42')) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM p))
 SELECT doc_id, source, k <= ceil(0.2 * n) AS is_test FROM p JOIN g USING (source)""",
+    "canonical_loadings": """
+WITH b AS (SELECT l_orderkey, avg(l_quantity) AS l_quantity, avg(l_extendedprice) AS l_extendedprice, avg(l_discount) AS l_discount, avg(l_tax) AS l_tax, avg(l_linenumber) AS l_linenumber
+  FROM lineitem GROUP BY 1),
+w AS (SELECT *, l_quantity + 0.001 * l_extendedprice AS u1, l_discount + 2 * l_tax AS v1 FROM b)
+""" + " UNION ALL ".join(f"SELECT '{v}' AS x, '{x}' AS y, count(*) AS n, round(corr({v}, {x}), 6) AS r FROM w" for v in ("u1", "v1") for x in (*XS, *YS)),
     "band_filter": f"WITH {_PRED} SELECT doc_id, tt || '_temperature' AS temperature_enc FROM p WHERE tt <> 'medium'",
 }

@@ -40,11 +40,13 @@ def row_mean(cols: list[Column]) -> Column:
 
 
 def row_std(cols: list[Column]) -> Column:
-    """Sample deviation over the values present, null with fewer than two."""
-    xs, mean = _clean(cols), row_mean(cols)
-    n = _count(xs)
-    squares = _sum([(x - mean) * (x - mean) for x in xs])
-    return F.sqrt(squares / F.when(n > 1, n - 1))
+    """Sample deviation over the values present, null with fewer than two. Values are shifted by the
+    first one present, which keeps the one-pass formula exact for near-constant rows."""
+    xs = _clean(cols)
+    base, n = F.coalesce(*xs), _count(xs)
+    gaps = [x - base for x in xs]
+    s1, s2 = _sum(gaps), _sum([g * g for g in gaps])
+    return F.sqrt(F.greatest(s2 - s1 * s1 / n, F.lit(0.0)) / F.when(n > 1, n - 1))
 
 
 def row_ci(cols: list[Column], z: float = 1.96) -> Column:

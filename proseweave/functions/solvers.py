@@ -117,6 +117,7 @@ def mean_shift(e: np.ndarray, quantile: float = 0.3, max_steps: int = 300) -> np
     n = len(e)
     k = max(1, int(n * quantile))
     band = float(np.sort(distances(e), axis=1)[:, k - 1].mean())
+    band += 1e-9 * float(np.abs(e).max())  # a mean of identical vectors is only equal up to rounding
     ends: dict[tuple, int] = {}
     for seed in e:
         here = seed

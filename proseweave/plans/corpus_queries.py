@@ -235,7 +235,7 @@ def value_counts(spark, d):
 
 
 def summary_table(spark, d):
-    s = TB.summary_table(V.features(spark, d), V.FEATURES)
+    s = TB.summary_table(V.spread_features(spark, d), V.FEATURES)
     return s.select("feature", "count", *[F.round(x, 4).alias(x) for x in ("mean", "std", "min", "q25", "q50", "q75", "max")])
 
 

@@ -20,7 +20,7 @@ def rnd(df, keys, names, k=6):
 
 
 def average_ranks(spark, d):
-    l = V.features(spark, d)
+    l = V.spread_features(spark, d)
     return rank_table(melt(l, [], ["l_quantity", "l_discount", "l_extendedprice"])).select("feature", "value", "n", "before", "total", "avg_rank")
 
 
@@ -29,7 +29,7 @@ def pearson_table(spark, d):
 
 
 def spearman_table(spark, d):
-    return rnd(ST.correlate(V.features(spark, d), [("is_r", f) for f in FEATURES] + [("l_quantity", "l_extendedprice")], "spearman"), ["x", "y", "n"], ["r"])
+    return rnd(ST.correlate(V.spread_features(spark, d), [("is_r", f) for f in FEATURES] + [("l_quantity", "l_extendedprice")], "spearman"), ["x", "y", "n"], ["r"])
 
 
 def spearman_with_gaps(spark, d):
@@ -41,7 +41,7 @@ def spearman_with_gaps(spark, d):
 
 
 def kendall_table(spark, d):
-    return rnd(ST.correlate(V.features(spark, d), [("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_discount", "l_tax")], "kendall"), ["x", "y", "n"], ["r"])
+    return rnd(ST.correlate(V.spread_features(spark, d), [("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_discount", "l_tax")], "kendall"), ["x", "y", "n"], ["r"])
 
 
 def correlation_matrix(spark, d):
@@ -67,7 +67,7 @@ def adjusted_correlations(spark, d):
 
 
 def ranksum_table(spark, d):
-    t = ST.ranksum_table(V.features(spark, d), ["is_r"], FEATURES, None)
+    t = ST.ranksum_table(V.spread_features(spark, d), ["is_r"], FEATURES, None)
     return rnd(t, ["x", "y"], ["stats", "cohen"], 5)
 
 
@@ -127,7 +127,7 @@ def zscore(spark, d):
 
 
 def robust_scale(spark, d):
-    s = ST.robust_scale(V.features(spark, d), ["l_quantity", "l_extendedprice"], "l_returnflag")
+    s = ST.robust_scale(V.spread_features(spark, d), ["l_quantity", "l_extendedprice"], "l_returnflag")
     return rnd(s, ["l_orderkey", "l_linenumber", "l_returnflag"], ["l_quantity", "l_extendedprice"])
 
 

@@ -82,6 +82,11 @@ def features(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def spread_features(spark: SparkSession, d: str) -> DataFrame:
+    """The same for rank statistics, whose per-row work deserves every core."""
+    return spread(features(spark, d), "l_orderkey")
+
+
 def paraphrase_index(n: Column, story: Column) -> tuple[Column, Column]:
     """Deterministic pair: the paraphrase is the last sentence, its source any earlier one."""
     return story % (n - 1), n - 1

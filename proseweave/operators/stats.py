@@ -25,6 +25,13 @@ def _num(name: str) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def safe_corr(x: Column, y: Column) -> Column:
+    """Aggregate: Pearson correlation over rows with both values, null without variance."""
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.sqrt(F.var_pop(F.when(both, x)) * F.var_pop(F.when(both, y)))
+    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+
+
 def _rows(structs: list[Column]) -> Column:
     return F.inline(F.array(*structs))
 
@@ -160,7 +167,7 @@ def _pair_rows(df: DataFrame, pairs: list[tuple[str, str]], cols: dict[str, Colu
     aggs = []
     for i, (x, y) in enumerate(pairs):
         both = cols[x].isNotNull() & cols[y].isNotNull()
-        aggs += [F.corr(cols[x], cols[y]).alias(f"r{i}"), F.count(F.when(both, 1)).alias(f"n{i}")]
+        aggs += [safe_corr(cols[x], cols[y]).alias(f"r{i}"), F.count(F.when(both, 1)).alias(f"n{i}")]
     clean = lambda r: F.when(~F.isnan(r), r)
     return df.agg(*aggs).select(
         _rows([F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"n{i}").alias("n"), clean(F.col(f"r{i}")).alias("r")) for i, (x, y) in enumerate(pairs)])

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import predicates as P
-from .ordered import exact_quantiles
+from .ordered import exact_quantiles, text_ranks
 
 
 def with_flags(df: DataFrame, text: str = "altered_text", sentences: str = "sentences", index: str | None = None,
@@ -72,15 +71,9 @@ def drop_linked(df: DataFrame, text: str = "altered_text") -> DataFrame:
 
 
 def category_codes(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Integer code of a category = its rank among the sorted distinct values (missing: -1).
-
-    Only the distinct values meet in one window, counts of rows do not matter.
-    """
-    codes = (
-        df.select(column).where(F.col(column).isNotNull()).distinct()
-        .withColumn(out, F.row_number().over(W.orderBy(column)) - 1)
-    )
-    return df.join(codes, column, "left").withColumn(out, F.coalesce(out, F.lit(-1)))
+    """Integer code of a category = its position among the sorted distinct values (missing: -1)."""
+    codes = text_ranks(df, column, out)
+    return df.join(codes, column, "left").withColumn(out, F.coalesce(F.col(out).cast("int"), F.lit(-1)))
 
 
 def lexical_repetition(df: DataFrame, score: str, out: str = "has_lexical_repetition") -> DataFrame:

@@ -23,22 +23,28 @@ HOT_ROWS = 200_000  # a group up to this size is sorted by one task
 MAX_GROUPS = 5_000  # largest groups whose edges are fetched: bounds what reaches the driver
 
 
-def _edges(df: DataFrame, group: str, value: str, buckets: int) -> Column:
-    """array<double> of inner edges for the row's group; empty for groups of ordinary size."""
-    none = F.array().cast("array<double>")
-    big = (
+def _big_groups(df: DataFrame, group: str, value: str) -> list:
+    """Keys of groups above HOT_ROWS, largest first, at most MAX_GROUPS + 1 of them."""
+    rows = (
         df.groupBy(group)
         .agg(F.count(value).alias("n"))
         .where(F.col("n") > HOT_ROWS)
         .orderBy(F.desc("n"), group)
-        .limit(MAX_GROUPS)
+        .limit(MAX_GROUPS + 1)
         .collect()
     )
+    return [r[group] for r in rows]
+
+
+def _edges(df: DataFrame, group: str, value: str, buckets: int, big: list | None = None) -> Column:
+    """array<double> of inner edges for the row's group; empty for groups of ordinary size."""
+    none = F.array().cast("array<double>")
+    big = _big_groups(df, group, value)[:MAX_GROUPS] if big is None else big[:MAX_GROUPS]
     if not big:
         return none
     probs = [i / buckets for i in range(1, buckets)]
     rows = (
-        df.where(F.col(group).isin([r[group] for r in big]))
+        df.where(F.col(group).isin(big))
         .groupBy(group)
         .agg(F.percentile_approx(value, probs, 2000).alias("e"))
         .collect()
@@ -58,13 +64,13 @@ def _bucket_of(edges: Column, value: Column) -> Column:
     )
 
 
-def rank_table(long: DataFrame, group: str = "feature", value: str = "value", buckets: int = BUCKETS) -> DataFrame:
+def rank_table(long: DataFrame, group: str = "feature", value: str = "value", buckets: int = BUCKETS, big: list | None = None) -> DataFrame:
     """One row per (group, value): ``n`` equal rows, ``before`` rows below, ``total`` rows of the
     group, ``avg_rank`` (1-based, ties averaged). Nulls and NaN are left out."""
     clean = long.select(group, F.col(value).cast("double").alias(value)).where(
         F.col(value).isNotNull() & ~F.isnan(value)
     )
-    edges = _edges(clean, group, value, buckets)
+    edges = _edges(clean, group, value, buckets, big)
     counts = clean.groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))  # one shuffle, reused below
     bucketed = counts.withColumn("bucket", _bucket_of(edges, F.col(value)))
     totals = bucketed.groupBy(group, "bucket").agg(F.sum("n").alias("bn"))
@@ -91,8 +97,26 @@ def rank_table(long: DataFrame, group: str = "feature", value: str = "value", bu
 
 
 def exact_quantiles(long: DataFrame, probs: dict[str, float], group: str = "feature", value: str = "value") -> DataFrame:
-    """Exact linear-interpolation quantiles: one row per group, one column per name in ``probs``."""
-    ranks = rank_table(long, group, value)
+    """Exact linear-interpolation quantiles: one row per group, one column per name in ``probs``.
+
+    Groups up to HOT_ROWS values use Spark's exact percentile, which keeps a group's distinct values in
+    one task's memory; the sizes are counted first. Larger groups go through the bucketed ranks.
+    """
+    clean = long.select(group, F.col(value).cast("double").alias(value)).where(
+        F.col(value).isNotNull() & ~F.isnan(value)
+    )
+    big = _big_groups(clean, group, value)
+    small = lambda df: df.groupBy(group).agg(*[F.percentile(value, F.lit(float(p))).alias(n) for n, p in probs.items()])
+    if not big:
+        return small(clean)
+    if len(big) > MAX_GROUPS:  # too many large groups to list: all groups take the spill-safe way
+        return _ranked_quantiles(rank_table(clean, group, value, big=big), probs, group, value)
+    is_big = F.col(group).isin(big)
+    ranks = rank_table(clean.where(is_big), group, value, big=big)
+    return small(clean.where(~is_big)).unionByName(_ranked_quantiles(ranks, probs, group, value))
+
+
+def _ranked_quantiles(ranks: DataFrame, probs: dict[str, float], group: str, value: str) -> DataFrame:
     out = []
     for name, p in probs.items():
         pos = F.lit(float(p)) * (F.col("total") - 1)
@@ -105,6 +129,20 @@ def exact_quantiles(long: DataFrame, probs: dict[str, float], group: str = "feat
     return ranks.groupBy(group).agg(*out)
 
 
+def text_ranks(df: DataFrame, column: str, out: str = "rank") -> DataFrame:
+    """(column, out): 0-based sorted position of every distinct text. The first six bytes give a number
+    that respects the order; buckets of that number are sorted apart and joined by offsets."""
+    head = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0")
+    words = df.select(column).where(F.col(column).isNotNull()).distinct()
+    keyed = words.withColumns({"_g": F.lit("all"), "_k": F.conv(head, 16, 10).cast("double")})
+    placed = keyed.withColumn("_b", _bucket_of(_edges(keyed, "_g", "_k", BUCKETS), F.col("_k")))
+    totals = placed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    # at most BUCKETS rows
+    offsets = totals.select("_b", F.coalesce(F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    inside = F.row_number().over(W.partitionBy("_b").orderBy(column))
+    return placed.withColumn("_r", inside).join(offsets, "_b").select(column, (F.col("_o") + F.col("_r") - 1).alias(out))
+
+
 def with_ranks(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Add average ranks (``columns``: source -> new name); null where the value is missing.
 

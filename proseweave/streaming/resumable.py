@@ -5,34 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from ..session import cut_lineage
+
 Enrich = Callable[[DataFrame], DataFrame]
 
 
 def enrich_new_rows(df: DataFrame, enrich: Enrich, path: str, key: str, strict: bool = True) -> int:
     """Enrich the rows whose key is not stored under ``path`` yet and append them. ``strict`` demands one
-    output row per input row; the check runs on the stored copy of the result before it is published."""
+    output row per input row; the check runs on a stored copy of the result before it is appended."""
     spark = df.sparkSession
     try:
         done = spark.read.parquet(path).select(key)
         todo = df.join(done, key, "left_anti")
     except AnalysisException:
         todo = df
-    result = enrich(todo).persist()
-    try:
-        n_out = result.count()
-        if strict:
-            n_in, n_keys = todo.count(), result.select(key).distinct().count()
-            if not n_in == n_out == n_keys:
-                raise ValueError(f"{n_in} rows in, {n_out} rows and {n_keys} keys out")
-        if n_out:
-            result.write.mode("append").parquet(path)
-        return n_out
-    finally:
-        result.unpersist()
+    result = cut_lineage(enrich(todo))  # a stored copy: what is checked is what is appended
+    n_out = result.count()
+    if strict:
+        n_in, n_keys = todo.count(), result.select(key).distinct().count()
+        if not n_in == n_out == n_keys:
+            raise ValueError(f"{n_in} rows in, {n_out} rows and {n_keys} keys out")
+    if n_out:
+        result.write.mode("append").parquet(path)
+    return n_out
 
 
 def run_new_files(spark: SparkSession, source: str, schema: T.StructType, enrich: Enrich, out: str, state: str) -> None:

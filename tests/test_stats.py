@@ -45,6 +45,16 @@ def test_ranks_and_quantiles(spark, monkeypatch, hot):
         assert [q[c][k] for k in "abc"] == pytest.approx(list(np.quantile(pdf[c], [0.25, 0.5, 0.9])))
 
 
+@pytest.mark.parametrize("hot", [5, 10**9])
+def test_text_ranks(spark, monkeypatch, hot):
+    monkeypatch.setattr(ordered, "HOT_ROWS", hot)
+    words = ["été", "eta", "Zoo", "a", "ab", "abcdefgh", "abcdefgi", "", "zoo"] + [f"w{i}" for i in range(300)]
+    df = spark.createDataFrame([(w,) for w in words * 2] + [(None,)], "w string")
+    got = {r["w"]: r["rank"] for r in ordered.text_ranks(df, "w").collect()}
+    want = {w: i for i, w in enumerate(sorted(set(words), key=lambda w: w.encode()))}
+    assert got == want
+
+
 def test_kendall_by_brute_force(spark):
     for ties in (True, False):
         pdf, df = frame(spark, 150, ties)

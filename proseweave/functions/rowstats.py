@@ -52,3 +52,31 @@ def row_std(cols: list[Column]) -> Column:
 def row_ci(cols: list[Column], z: float = 1.96) -> Column:
     """z * deviation / sqrt(k) with k the number of columns, not of values present."""
     return F.lit(z) * row_std(cols) / F.lit(float(len(cols)) ** 0.5)
+
+
+def add_row_stats(df: DataFrame, specs: list[tuple[list[str], str, str | None, str | None]], z: float = 1.96) -> DataFrame:
+    """Add (mean, deviation, ci) columns for many column groups at once; a None name is left out.
+
+    Cleaned values, means and deviations are separate projections: each is computed once per row and the
+    next one refers to it, so the work stays linear in the number of columns.
+    """
+    keep = df.columns
+    used = list(dict.fromkeys(c for cols, *_ in specs for c in cols))
+    tmp = {c: f"_x{i}" for i, c in enumerate(used)}
+    out = df.withColumns({tmp[c]: _clean([F.col(f"`{c}`")])[0] for c in used})
+    xs = [[F.col(tmp[c]) for c in cols] for cols, *_ in specs]
+    out = out.withColumns({f"_m{i}": _sum(x) / F.nullif(_count(x), F.lit(0)) for i, x in enumerate(xs)})
+    dev = {}
+    for i, x in enumerate(xs):
+        gaps = [v - F.col(f"_m{i}") for v in x]
+        dev[f"_s{i}"] = F.sqrt(_sum([g * g for g in gaps]) / F.when(_count(x) > 1, _count(x) - 1))
+    out = out.withColumns(dev)
+    final, names = [], set()
+    for i, (cols, mean, std, ci) in enumerate(specs):
+        final.append(F.col(f"_m{i}").alias(mean))
+        if std:
+            final.append(F.col(f"_s{i}").alias(std))
+        if ci:
+            final.append((F.lit(z / float(len(cols)) ** 0.5) * F.col(f"_s{i}")).alias(ci))
+        names |= {mean, std, ci}
+    return out.select(*[F.col(f"`{c}`") for c in keep if c not in names], *final)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rowstats import columns_matching, row_ci, row_mean, row_std
+from ..functions.rowstats import add_row_stats, columns_matching, row_ci, row_mean, row_std
 
 # The column groups and the names of what is derived from them.
 MODELS = "(sentence_sim|glove|w2v|fast_text)(.*)"
@@ -45,19 +45,19 @@ def group_stats(columns: list[str], mean: str, std: str | None, ci: str | None,
 
 
 def add_composites(df: DataFrame, z: float = 1.96) -> DataFrame:
-    """Every composite whose source columns exist, in one projection."""
-    new: dict = {"narrative_speed_ci": F.lit(0)}
+    """Every composite whose source columns exist."""
+    specs = []
     for suffix, names in ACROSS_MODELS.items():
-        cols = [c for c in columns_matching(df, MODELS + f"({suffix})")]
+        cols = columns_matching(df, MODELS + f"({suffix})")
         if cols:
-            new |= group_stats(cols, *names, z)
+            specs.append((cols, *names))
     for name, cols in GROUPS.items():
         if set(cols) <= set(df.columns):
-            new |= group_stats(cols, name, f"{name}_std", f"{name}_ci", z)
+            specs.append((cols, name, f"{name}_std", f"{name}_ci"))
     for name, cols in TOPIC_GROUPS.items():
         if set(cols) <= set(df.columns):
-            new |= group_stats(cols, name, None, f"{name}_ci", z)
-    return df.withColumns(new)
+            specs.append((cols, name, None, f"{name}_ci"))
+    return add_row_stats(df, specs, z).withColumn("narrative_speed_ci", F.lit(0))
 
 
 def bands_long(df: DataFrame, keys: list[str], pairs: dict[str, str]) -> DataFrame:

@@ -42,7 +42,7 @@ def _nearest(rows: DataFrame) -> DataFrame:
     """Closest row of the other arm for every row (ties go to the lower score). One ordered scan inside
     each score bucket; between buckets only the outermost rows of each arm are passed on."""
     keyed = rows.withColumn("g", F.lit("all"))
-    b = keyed.withColumn("b", _bucket_of(_edges(keyed, "g", "s", 64), F.col("s")))
+    b = keyed.withColumn("b", _bucket_of(_edges(keyed, "g", "s", 64), "g", "s"))
     me = F.struct("s", "id")
     arm = lambda t: F.when(F.col("t") == t, me)
     up = W.partitionBy("b").orderBy("s", "id").rowsBetween(W.unboundedPreceding, -1)

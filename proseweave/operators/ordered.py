@@ -16,8 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import let
-
 BUCKETS = 64
 HOT_ROWS = 200_000  # a group up to this size is sorted by one task
 MAX_GROUPS = 5_000  # largest groups whose edges are fetched: bounds what reaches the driver
@@ -36,12 +34,11 @@ def _big_groups(df: DataFrame, group: str, value: str) -> list:
     return [r[group] for r in rows]
 
 
-def _edges(df: DataFrame, group: str, value: str, buckets: int, big: list | None = None) -> Column:
-    """array<double> of inner edges for the row's group; empty for groups of ordinary size."""
-    none = F.array().cast("array<double>")
+def _edges(df: DataFrame, group: str, value: str, buckets: int, big: list | None = None) -> dict:
+    """Inner bucket edges of the large groups; groups of ordinary size have none."""
     big = _big_groups(df, group, value)[:MAX_GROUPS] if big is None else big[:MAX_GROUPS]
     if not big:
-        return none
+        return {}
     probs = [i / buckets for i in range(1, buckets)]
     rows = (
         df.where(F.col(group).isin(big))
@@ -49,19 +46,30 @@ def _edges(df: DataFrame, group: str, value: str, buckets: int, big: list | None
         .agg(F.percentile_approx(value, probs, 2000).alias("e"))
         .collect()
     )
-    kv: list[Column] = []
-    for r in rows:
-        kv += [F.lit(r[group]), F.array(*[F.lit(float(x)) for x in sorted(set(r["e"]))])]
-    return F.coalesce(F.try_element_at(F.create_map(*kv), F.col(group)), none)
-
-
-def _bucket_of(edges: Column, value: Column) -> Column:
-    """Number of edges below the value, found in two steps of about sqrt(edges) comparisons."""
-    below = lambda a: F.size(F.filter(a, lambda e: e < value))
-    coarse = F.filter(edges, lambda e, i: i % 8 == 7)
-    return F.when(F.size(edges) == 0, 0).otherwise(
-        let(below(coarse) * 8, lambda c: c + below(F.slice(edges, c + 1, F.lit(8))))
-    )
+    return {r[group]: sorted({float(x) for x in r["e"]}) for r in rows}
+
+
+def _bucket_of(edges: dict, group: str, value: str) -> Column:
+    """Number of the group's edges below the value. A few groups get a compiled binary search, many
+    groups a lookup of their edge array."""
+    if not edges:
+        return F.lit(0)
+    if len(edges) > 32:
+        none = F.array().cast("array<double>")
+        kv = [x for g, e in edges.items() for x in (F.lit(g), F.array(*[F.lit(v) for v in e]))]
+        own = F.coalesce(F.try_element_at(F.create_map(*kv), F.col(group)), none)
+        return F.size(F.filter(own, lambda e: e < F.col(value)))
+
+    def search(e: list[float], low: int) -> str:
+        if not e:
+            return str(low)
+        mid = len(e) // 2
+        return f"CASE WHEN `{value}` <= {e[mid]!r}D THEN {search(e[:mid], low)} ELSE {search(e[mid + 1:], low + mid + 1)} END"
+
+    out = F.when(F.lit(False), 0)
+    for g, e in edges.items():
+        out = out.when(F.col(group) == F.lit(g), F.expr(search(e, 0)))
+    return out.otherwise(0)
 
 
 def rank_table(long: DataFrame, group: str = "feature", value: str = "value", buckets: int = BUCKETS, big: list | None = None) -> DataFrame:
@@ -72,7 +80,7 @@ def rank_table(long: DataFrame, group: str = "feature", value: str = "value", bu
     )
     edges = _edges(clean, group, value, buckets, big)
     counts = clean.groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))  # one shuffle, reused below
-    bucketed = counts.withColumn("bucket", _bucket_of(edges, F.col(value)))
+    bucketed = counts.withColumn("bucket", _bucket_of(edges, group, value))
     totals = bucketed.groupBy(group, "bucket").agg(F.sum("n").alias("bn"))
     by_bucket = W.partitionBy(group).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
@@ -135,7 +143,7 @@ def text_ranks(df: DataFrame, column: str, out: str = "rank") -> DataFrame:
     head = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0")
     words = df.select(column).where(F.col(column).isNotNull()).distinct()
     keyed = words.withColumns({"_g": F.lit("all"), "_k": F.conv(head, 16, 10).cast("double")})
-    placed = keyed.withColumn("_b", _bucket_of(_edges(keyed, "_g", "_k", BUCKETS), F.col("_k")))
+    placed = keyed.withColumn("_b", _bucket_of(_edges(keyed, "_g", "_k", BUCKETS), "_g", "_k"))
     totals = placed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     # at most BUCKETS rows
     offsets = totals.select("_b", F.coalesce(F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))

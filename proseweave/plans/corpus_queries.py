@@ -166,7 +166,7 @@ def row_composites(spark, d):
 
 def density_composites(spark, d):
     """All composites over a wide feature table whose columns carry the contract names."""
-    l = V.table(spark, d, "lineitem")
+    l = V.spread(V.table(spark, d, "lineitem"), "l_orderkey")
     named = {}
     for k, m in enumerate(("w2v", "glove", "fast_text", "sentence_sim")):
         for scope in ("all", "consecutive"):

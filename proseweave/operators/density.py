@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import solvers as S
+from ..functions.text import once
 from .distances import BLOCK, consecutive, tiles
 from .ordered import running_sum
 
@@ -61,8 +62,9 @@ def trajectory_score(vectors: DataFrame, key: str = KEY, pos: str = POS) -> Data
 # --- clusters ------------------------------------------------------------------------------
 
 
-def _label_sums(left: Column, right: Column, same: Column) -> Column:
-    """Per sentence of a tile: summed distance to each label on the other side."""
+def _label_sums(left: list[Column], right: list[Column], same: Column) -> Column:
+    """Per sentence of a tile, given as (flat vectors, positions, labels) of both sides: summed distance
+    to each label on the other side."""
 
     @F.pandas_udf("array<struct<pos long, own int, other int, s double, n long>>")
     def run(v: pd.Series, p: pd.Series, l: pd.Series, v2: pd.Series, p2: pd.Series, l2: pd.Series, one: pd.Series) -> pd.Series:
@@ -83,8 +85,7 @@ def _label_sums(left: Column, right: Column, same: Column) -> Column:
             out.append(rows)
         return pd.Series(out)
 
-    pack = lambda c: [F.flatten(c["vec"]), c["pos"], c["label"]]
-    return run(*pack(left), *pack(right), same)
+    return run(*left, *right, same)
 
 
 def silhouette(labelled: DataFrame, key: str = KEY, pos: str = POS, label: str = "label", block: int = BLOCK) -> DataFrame:
@@ -92,23 +93,33 @@ def silhouette(labelled: DataFrame, key: str = KEY, pos: str = POS, label: str =
     single label or as many labels as sentences. Distances live in tiles, only per-label sums leave."""
     packed = labelled.select(key, pos, F.struct(F.col(pos).cast("long").alias("pos"), "vec", F.col(label).cast("int").alias("label")).alias("row"))
     t = tiles(packed, "row", key, pos, block)
+    pack = lambda c: [F.flatten(c["vec"]), c["pos"], c["label"]]
     sums = (
-        t.select(key, F.inline(_label_sums(F.col("left"), F.col("right"), F.col("same"))))
+        t.select(key, F.inline(_label_sums(pack(F.col("left")), pack(F.col("right")), F.col("same"))))
         .groupBy(key, "pos", "own", "other")
         .agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     )
+    sizes = label_counts(labelled, key, label)
+    return _silhouette_of(sums, key).join(sizes, key).select(key, "n", "n_labels", _valid("silhouette").alias("silhouette"))
+
+
+def _silhouette_of(sums: DataFrame, key: str, *carry: str) -> DataFrame:
+    """Mean silhouette per story from per-label distance sums (key, pos, own, other, s, n)."""
     mean = F.col("s") / F.nullif(F.col("n"), F.lit(0))
+    kept = [F.first(c).alias(c) for c in carry]
     point = sums.groupBy(key, "pos").agg(
         F.max(F.when(F.col("own") == F.col("other"), mean)).alias("a"),
         F.min(F.when(F.col("own") != F.col("other"), mean)).alias("b"),
+        *kept,
     )
     s = F.when(F.col("a").isNull(), 0.0).otherwise(
         F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0))
     )
-    scores = point.groupBy(key).agg(F.avg(s).alias("silhouette"))
-    sizes = label_counts(labelled, key, label)
-    ok = (F.col("n_labels") > 1) & (F.col("n_labels") < F.col("n"))
-    return sizes.join(scores, key).select(key, "n", "n_labels", F.when(ok, F.col("silhouette")).alias("silhouette"))
+    return point.groupBy(key).agg(F.avg(s).alias("silhouette"), *kept)
+
+
+def _valid(c: str) -> Column:
+    return F.when((F.col("n_labels") > 1) & (F.col("n_labels") < F.col("n")), F.col(c))
 
 
 def label_counts(labelled: DataFrame, key: str = KEY, label: str = "label") -> DataFrame:
@@ -119,7 +130,10 @@ def label_counts(labelled: DataFrame, key: str = KEY, label: str = "label") -> D
 def cluster_scores(labelled: DataFrame, key: str = KEY, pos: str = POS, label: str = "label") -> DataFrame:
     """(key, cluster_density, reverse_silhouette). Noise counts as a label. Where the silhouette is
     undefined both scores are 0."""
-    s = silhouette(labelled, key, pos, label)
+    return _both_scores(silhouette(labelled, key, pos, label), key)
+
+
+def _both_scores(s: DataFrame, key: str) -> DataFrame:
     ok = F.col("silhouette").isNotNull()
     return s.select(
         key,
@@ -148,8 +162,8 @@ def _matrix(flat, n) -> np.ndarray:
     return np.asarray(flat, dtype=float).reshape(int(n), -1)
 
 
-def cluster_labels(gathered: DataFrame, method: str, key: str = KEY) -> DataFrame:
-    """(key, pos, vec, label) by ``MeanShift`` or ``HDBSCAN``."""
+def _labelled(gathered: DataFrame, method: str) -> DataFrame:
+    """The gathered rows with ``labels``; the solver runs once per story."""
     if method not in S.CLUSTERERS:
         raise ValueError(f"unknown clustering {method!r}; choose from {sorted(S.CLUSTERERS)}")
     solve = S.CLUSTERERS[method]
@@ -158,12 +172,27 @@ def cluster_labels(gathered: DataFrame, method: str, key: str = KEY) -> DataFram
     def run(flat: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([solve(_matrix(f, k)).astype(int).tolist() for f, k in zip(flat, n)])
 
+    return once(gathered, "labels", run("flat", "n"))
+
+
+def cluster_labels(gathered: DataFrame, method: str, key: str = KEY) -> DataFrame:
+    """(key, pos, vec, label) by ``MeanShift`` or ``HDBSCAN``."""
     width = (F.size("flat") / F.col("n")).cast("int")
-    vec = lambda i: F.slice(F.col("flat"), i * F.col("_w") + 1, F.col("_w"))
-    labelled = gathered.withColumn("_l", run("flat", "n")).withColumn("_w", width)
-    return labelled.select(key, "flat", "_w", F.posexplode(F.arrays_zip(F.col("positions").alias("p"), F.col("_l").alias("l"))).alias("i", "x")).select(
-        key, F.col("x.p").alias("pos"), vec(F.col("i")).alias("vec"), F.col("x.l").alias("label")
+    vec = F.slice(F.col("flat"), F.col("i") * F.col("_w") + 1, F.col("_w"))
+    rows = _labelled(gathered, method).withColumn("_w", width)
+    return rows.select(
+        key, "flat", "_w", F.posexplode(F.arrays_zip(F.col("positions").alias("p"), F.col("labels").alias("l"))).alias("i", "x")
+    ).select(key, F.col("x.p").alias("pos"), vec.alias("vec"), F.col("x.l").alias("label"))
+
+
+def clustered_scores(gathered: DataFrame, method: str, key: str = KEY) -> DataFrame:
+    """``cluster_scores`` of the solver's labels, without moving the gathered stories again."""
+    side = [F.col("flat"), F.col("positions"), F.col("labels")]
+    sums = _labelled(gathered, method).select(
+        key, F.col("n").alias("size"), F.size(F.array_distinct("labels")).alias("n_labels"), F.inline(_label_sums(side, side, F.lit(True)))
     )
+    s = _silhouette_of(sums, key, "size", "n_labels").withColumnRenamed("size", "n")
+    return _both_scores(s.withColumn("silhouette", _valid("silhouette")), key)
 
 
 def cluster_members(labelled: DataFrame, sentences: DataFrame, key: str = KEY, pos: str = POS, label: str = "label") -> DataFrame:
@@ -218,7 +247,7 @@ def density_table(vectors: DataFrame, methods: tuple[str, ...] = ("HDBSCAN", "Me
         )
     out = out.join(matrix_scores(g, key=key), key)
     for m in methods:
-        c = cluster_scores(cluster_labels(g, m, key), key, pos)
+        c = clustered_scores(g, m, key)
         out = out.join(
             c.select(key, F.col("cluster_density").alias(f"cluster_density_score_{m}"), F.col("reverse_silhouette").alias(f"cluster_reverse_silhouette_score_{m}")), key
         )

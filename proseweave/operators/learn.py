@@ -64,7 +64,7 @@ def boosted(seed: int = 42, rounds: int = 20) -> OneVsRest:
 
 
 def train_and_evaluate(df: DataFrame, sets: dict[str, list[str]], target: str, group: str, n_classes: int, params: dict[str, dict] | None = None,
-                       kind: str = "forest", seed: int = 42) -> tuple[DataFrame, dict[str, DataFrame]]:
+                       kind: str = "forest", seed: int = 42, rounds: int = 20) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Fit one model per feature set on the same group split. Returns (name, accuracy, f1_score) rows and
     the confusion table of each set (codes as text)."""
     if kind not in ("forest", "boosted"):
@@ -75,7 +75,7 @@ def train_and_evaluate(df: DataFrame, sets: dict[str, list[str]], target: str, g
     for name, cols in sets.items():
         require(df, [*cols, target])
         data = vectorise(split, cols).select("label", "features", "is_test")
-        est = forest((params or {}).get(name), seed) if kind == "forest" else boosted(seed)
+        est = forest((params or {}).get(name), seed) if kind == "forest" else boosted(seed, rounds)
         model = est.fit(data.where(~F.col("is_test")))
         out = model.transform(data.where("is_test"))
         pairs = out.select(F.col("label").cast("int").cast("string").alias("true"), F.col("prediction").cast("int").cast("string").alias("pred"))

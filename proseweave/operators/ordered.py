@@ -143,7 +143,10 @@ def text_ranks(df: DataFrame, column: str, out: str = "rank") -> DataFrame:
     head = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0")
     words = df.select(column).where(F.col(column).isNotNull()).distinct()
     keyed = words.withColumns({"_g": F.lit("all"), "_k": F.conv(head, 16, 10).cast("double")})
-    placed = keyed.withColumn("_b", _bucket_of(_edges(keyed, "_g", "_k", BUCKETS), "_g", "_k"))
+    edges = _edges(keyed, "_g", "_k", BUCKETS)
+    if not edges:  # at most HOT_ROWS distinct texts
+        return words.select(column, (F.row_number().over(W.orderBy(column)) - 1).alias(out))
+    placed = keyed.withColumn("_b", _bucket_of(edges, "_g", "_k"))
     totals = placed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     # at most BUCKETS rows
     offsets = totals.select("_b", F.coalesce(F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))

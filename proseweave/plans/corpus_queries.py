@@ -180,7 +180,7 @@ def density_composites(spark, d):
     wide = l.select("l_orderkey", "l_linenumber", *[v.alias(k) for k, v in named.items()])
     out = CP.add_composites(wide)
     new = [x for x in out.columns if x not in wide.columns]
-    return out.groupBy((c("l_orderkey") % 50).alias("bucket")).agg(*[F.round(F.avg(x), 5).alias(x) for x in sorted(new)])
+    return out.groupBy((c("l_orderkey") % 50).alias("bucket")).agg(*[F.round(F.avg(x), 8).alias(x) for x in sorted(new)])
 
 
 def composites_long(spark, d):
@@ -362,7 +362,7 @@ def _composite_sql() -> str:
     for g, members in CP.TOPIC_GROUPS.items():
         m, _, ci = stats([value[x] for x in members])
         cols |= {g: m, f"{g}_ci": ci}
-    body = ", ".join(f'round(avg({e}), 5) AS "{n}"' for n, e in cols.items())
+    body = ", ".join(f'round(avg({e}), 8) AS "{n}"' for n, e in cols.items())
     return f"SELECT l_orderkey % 50 AS bucket, {body} FROM lineitem GROUP BY 1"
 
 

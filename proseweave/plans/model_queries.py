@@ -93,7 +93,7 @@ def forest_evaluation(spark, d):
 
 
 def boosted_evaluation(spark, d):
-    t, _ = LN.train_and_evaluate(_model_rows(spark, d), {"all": COVARIATES}, "cat_label", "source", 6, kind="boosted")
+    t, _ = LN.train_and_evaluate(_model_rows(spark, d), {"all": COVARIATES}, "cat_label", "source", 6, kind="boosted", rounds=5)
     return t
 
 

@@ -165,7 +165,8 @@ def row_composites(spark, d):
 
 
 def density_composites(spark, d):
-    """All composites over a wide feature table whose columns carry the contract names."""
+    """All composites over a wide feature table whose columns carry the contract names, summed per bucket
+    (an average of short decimals can fall exactly on a rounding tie, a sum cannot)."""
     l = V.spread(V.table(spark, d, "lineitem"), "l_orderkey")
     named = {}
     for k, m in enumerate(("w2v", "glove", "fast_text", "sentence_sim")):
@@ -180,7 +181,7 @@ def density_composites(spark, d):
     wide = l.select("l_orderkey", "l_linenumber", *[v.alias(k) for k, v in named.items()])
     out = CP.add_composites(wide)
     new = [x for x in out.columns if x not in wide.columns]
-    return out.groupBy((c("l_orderkey") % 50).alias("bucket")).agg(*[F.round(F.avg(x), 8).alias(x) for x in sorted(new)])
+    return out.groupBy((c("l_orderkey") % 50).alias("bucket")).agg(*[F.round(F.sum(c(x).cast("double")), 6).alias(x) for x in sorted(new)])
 
 
 def composites_long(spark, d):
@@ -342,7 +343,7 @@ def _composite_sql() -> str:
         std = "sqrt((" + " + ".join(f"pow(({e}) - {mean}, 2)" for e in exprs) + f") / {k - 1}.0)"
         return mean, std, f"({z} * {std} / sqrt({k}.0))"
 
-    cols: dict[str, str] = {"narrative_speed_ci": "0.0"}
+    cols: dict[str, str] = {"narrative_speed_ci": "CAST(0.0 AS DOUBLE)"}
     models = ["w2v", "glove", "fast_text", "sentence_sim"]
     source = {
         "all_cosine_sentences_similarity_mean": [f"l_discount * {k + 1} + 0.1" for k in range(4)],
@@ -362,7 +363,7 @@ def _composite_sql() -> str:
     for g, members in CP.TOPIC_GROUPS.items():
         m, _, ci = stats([value[x] for x in members])
         cols |= {g: m, f"{g}_ci": ci}
-    body = ", ".join(f'round(avg({e}), 8) AS "{n}"' for n, e in cols.items())
+    body = ", ".join(f'round(sum({e}), 6) AS "{n}"' for n, e in cols.items())
     return f"SELECT l_orderkey % 50 AS bucket, {body} FROM lineitem GROUP BY 1"
 
 

@@ -1,8 +1,8 @@
 """Quality classifier: n-gram indicators scaled by naive Bayes log-count ratios, hinge loss by dual coordinate descent.
 
 Tokens are runs of letters and digits and runs of other visible signs. A text's features are the distinct hashed
-indicators of token unigrams and bigrams (a token that repeats the one before counts as the same repeat token) and of
-token-shape unigrams to trigrams. The score is a logistic curve fitted to the margins of held-back sample rows.
+indicators of token unigrams and bigrams (a token that repeats the one before counts as the same repeat token), of
+a token three times in a row and of token-shape unigrams to trigrams. The score is a logistic curve fitted to the margins of held-back sample rows.
 
 The model is fitted on at most ``MAX_ROWS`` labelled whole texts (smallest hash of the id first); scoring covers all
 texts. Defined cases: null and empty texts have no features and get the score of the bias; with labels of one class or
@@ -75,6 +75,9 @@ def _chunk_indicators(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray
     three = owner[2:] == owner[:-2]
     grams.append(mix((shape[:-2] * np.uint64(31) + shape[1:-1]) * np.uint64(31) + shape[2:] + np.uint64(5))[three])
     who.append(owner[2:][three])
+    again = same[2:] & same[1:-1]  # the same token three times
+    grams.append(np.full(int(again.sum()), mix(np.array([_REPEAT]))[0], np.uint64))
+    who.append(owner[2:][again])
     key = np.concatenate(who).astype(np.uint64) << np.uint64(32) | np.concatenate(grams) >> np.uint64(64 - BITS)
     key.sort()
     key = key[np.concatenate([[True], key[1:] != key[:-1]])]

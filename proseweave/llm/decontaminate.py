@@ -12,9 +12,8 @@ takes several passes whose hits are merged by document id (then ids must be uniq
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import per_text
@@ -135,6 +134,22 @@ def find_items(documents: DataFrame, items: DataFrame, size: int = SIZE, key: st
     return whole.groupBy(key).agg(F.max("n_words").alias("n_words"), merge(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
 
 
+def contaminated_column(documents: DataFrame, items: DataFrame, text: Column, size: int = SIZE, item: str = "item_id", item_text: str = "text", slice_bytes: int = SLICE_BYTES) -> Column:
+    """Whether the text holds a window of any item, as a column for filters that keep the rest of the row."""
+    out = F.lit(False)
+    for block in _slices(items, item, item_text, slice_bytes):
+        sent = documents.sparkSession.sparkContext.broadcast(build_tables([(i, t) for i, (_, t) in enumerate(block)], size))
+
+        @F.pandas_udf("boolean")
+        def hit(texts, sent=sent):
+            import pandas as pd
+
+            return pd.Series([any(next(t.search(words), None) for t in sent.value) for words in map(split_words, texts)], dtype=bool)
+
+        out = out | hit(text)
+    return out
+
+
 def _merge_flat(lists: list[list[int]]) -> list[int]:
     pairs = sorted((x[i], x[i + 1]) for x in lists for i in range(0, len(x), 2))
     out: list[int] = []

@@ -190,6 +190,19 @@ def hash_text(value) -> int:
     return zlib.crc32(f"order:{value}".encode())
 
 
+def score_column(spark, model: QualityModel, text: Column) -> Column:
+    """The score as a column, for filters that keep the rest of the row."""
+    sent = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def scores(texts):
+        import pandas as pd
+
+        return pd.Series(sent.value.scores(pa.array(texts, pa.string(), from_pandas=True)))
+
+    return scores(text)
+
+
 def score(documents: DataFrame, model: QualityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, score (0 to 1), predicted (1 if the score is 0.5 or more)."""
     sent = documents.sparkSession.sparkContext.broadcast(model)

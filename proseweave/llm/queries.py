@@ -7,18 +7,40 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..sources.tables import table
-from . import decontaminate, language, quality, url_filter
+from . import covertree, decontaminate, language, licenses, mixing, pii, quality, simhash, suffixes, url_filter
 
 
 def _remainder(key: str, by: int) -> Column:
     return F.crc32(F.col(key).cast("string")) % by
 
 
+def op1_covertree(spark: SparkSession, d: str) -> DataFrame:
+    found = covertree.linked(table(spark, d, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def op2_pii(spark: SparkSession, d: str) -> DataFrame:
+    return pii.detect(table(spark, d, "documents"), pii.train(pii.labelled_table(spark)))
+
+
+def op3_mixing(spark: SparkSession, d: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, d, "documents").select("doc_id", "text", "source", "lang"))
+    return mixed.select(
+        "doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
+        F.round("_factor", 6).alias("weight"), F.round("_probability", 6).alias("probability"), F.col("_kept").alias("kept"),
+    )
+
+
 def op4_decontaminate(spark: SparkSession, d: str) -> DataFrame:
     found = decontaminate.find_items(table(spark, d, "documents"), table(spark, d, "benchmark"))
     return decontaminate.contamination(found).drop("spans", "item_ids")
 
 
+def op5_simhash(spark: SparkSession, d: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, d, "documents"))
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_quality(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents").select("doc_id", "text")
     model = quality.train(documents, table(spark, d, "labels"), _remainder("doc_id", 3) != 1)
@@ -26,6 +48,14 @@ def op6_quality(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op7_licenses(spark: SparkSession, d: str) -> DataFrame:
+    return licenses.scan(table(spark, d, "documents")).drop("matches").withColumn("score", F.round("score", 9))
+
+
+def op8_suffixes(spark: SparkSession, d: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, d, "documents")).drop("kept_text")
+
+
 def op9_language(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents").select("doc_id", "text", "lang")
     model = language.train(documents, _remainder("doc_id", 4) != 2)
@@ -77,9 +107,26 @@ SELECT page_id, host, path, rule, CASE {verdict} WHEN n_strict > 0 OR n_soft >=
 
 
 QUERIES = {
+    "op1_covertree": op1_covertree,
+    "op2_pii": op2_pii,
+    "op3_mixing": op3_mixing,
     "op4_decontaminate": op4_decontaminate,
+    "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
+    "op7_licenses": op7_licenses,
+    "op8_suffixes": op8_suffixes,
     "op9_language": op9_language,
     "op10_url_filter": op10_url_filter,
 }
-ORACLES = {"op4_decontaminate": _OP4, "op10_url_filter": _op10_sql()}
+_OP1 = """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+c(a, b) AS (SELECT a, b FROM l UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a),
+m AS (SELECT a, min(b) AS b FROM c GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id, least(vec_id, coalesce(b, vec_id)) = vec_id AS kept
+FROM embeddings LEFT JOIN m ON vec_id = m.a LEFT JOIN n ON vec_id = n.a"""
+
+
+ORACLES = {
+    "op1_covertree": _OP1,
+    "op4_decontaminate": _OP4, "op10_url_filter": _op10_sql()}

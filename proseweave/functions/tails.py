@@ -18,15 +18,40 @@ def norm_quantile(p: float) -> float:
     return math.inf if p >= 1 else -math.inf if p <= 0 else _NORMAL.inv_cdf(p)
 
 
-def beta_cdf(x: float, a: float, b: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
+def kendall_two_sided(score: float, variance: float, n: int, ties: bool) -> float:
+    """p of Kendall's score: by counting permutations for few rows without ties, else by the normal limit."""
+    if not ties and n <= 33:
+        fewest = int(round(n * (n - 1) / 2 - abs(score))) // 2  # pairs out of order, or in order if these are fewer
+        if 4 * fewest >= n * (n - 1):
+            return 1.0
+        # permutations of 1..k by their number of pairs out of order
+        ways = [1] + [0] * fewest
+        for k in range(2, n + 1):
+            ways = [sum(ways[max(0, i - k + 1) : i + 1]) for i in range(fewest + 1)]
+        return min(1.0, 2 * sum(ways) / math.factorial(n))
+    return norm_two_sided(score / math.sqrt(variance)) if variance > 0 else math.nan
+
+
+def _gamma_ratio(a: float, b: float) -> float:
+    """ln gamma(a + b) - ln gamma(a), without the cancellation of two large logarithms."""
+    if a < 50:
+        return math.lgamma(a + b) - math.lgamma(a)
+    rest = lambda x: 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return (a - 0.5) * math.log1p(b / a) + b * math.log(a + b) - b + rest(a + b) - rest(a)
+
+
+def beta_cdf(x: float, a: float, b: float, y: float | None = None) -> float:
+    """Regularised incomplete beta function by its continued fraction. ``y`` is 1 - x where the caller knows it better."""
+    y = 1.0 - x if y is None else y
     if x <= 0.0:
         return 0.0
-    if x >= 1.0:
+    if y <= 0.0:
         return 1.0
     if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - beta_cdf(1.0 - x, b, a)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+        return 1.0 - beta_cdf(y, b, a, x)
+    large, small = max(a, b), min(a, b)
+    log = lambda u, v: math.log1p(-v) if u > 0.5 else math.log(u)
+    front = math.exp(_gamma_ratio(large, small) - math.lgamma(small) + a * log(x, y) + b * log(y, x)) / a
     tiny, c = 1e-300, 1.0
     d = 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
@@ -47,13 +72,11 @@ def beta_cdf(x: float, a: float, b: float) -> float:
 
 
 def t_two_sided(t: float, dof: float) -> float:
-    if dof > 1e7:
-        return norm_two_sided(t)
-    return beta_cdf(dof / (dof + t * t), dof / 2.0, 0.5)
+    return beta_cdf(dof / (dof + t * t), dof / 2.0, 0.5, t * t / (dof + t * t))
 
 
 def f_tail(f: float, d1: float, d2: float) -> float:
-    return 1.0 if f <= 0 else beta_cdf(d2 / (d2 + d1 * f), d2 / 2.0, d1 / 2.0)
+    return 1.0 if f <= 0 else beta_cdf(d2 / (d2 + d1 * f), d2 / 2.0, d1 / 2.0, d1 * f / (d2 + d1 * f))
 
 
 def _root(fn, low: float, high: float) -> float:

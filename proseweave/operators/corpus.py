@@ -197,13 +197,13 @@ def enrich(aggregated: DataFrame, control: DataFrame, stories: DataFrame | None
     return out.where(in_window(F.col("num_sentences"), low, high))
 
 
-def add_labels(cleaned: DataFrame, temperature: str = "temperature") -> DataFrame:
-    """Band, paraphrase name and combined label, plus a random control column."""
+def add_labels(cleaned: DataFrame, temperature: str = "temperature", row_id: str = "index") -> DataFrame:
+    """Band, paraphrase name and combined label, plus a random control column drawn from the row id."""
     return cleaned.withColumns(
         {
             "has_paraphrase": (F.col("clean_paraphase_type") != 0).cast("int"),
             "temperature_enc": L.band_name(F.col(temperature)),
-            "random": F.rand(42),
+            "random": T.uniform_of(F.lit(42), F.col(row_id)),
         }
     ).withColumn("paraphrase_enc", L.paraphrase_name(F.col("has_paraphrase"))).withColumn(
         "combined_label", L.combined_label(F.col("temperature_enc"), F.col("paraphrase_enc"))

@@ -143,6 +143,7 @@ def consecutive_jaccard(tokens: DataFrame, key: str = KEY, pos: str = POS) -> Da
 
 def summarise_steps(steps: DataFrame, key: str = KEY) -> DataFrame:
     """mean, median, population std, min, max of ``d`` per story; null when a distance is undefined."""
+    steps = cut_lineage(steps)  # a distance may be dear: the moments and the median read it back
     base = steps.groupBy(key).agg(
         F.count(F.lit(1)).alias("_rows"),
         F.count("d").alias("_known"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..session import cut_lineage
 from .learn import vectorise
-from .ordered import _bucket_of, _edges
+from .ordered import in_ranges
 
 SALTS = 64
 
@@ -40,9 +40,8 @@ def _equal_scores(rows: DataFrame) -> DataFrame:
 
 def _nearest(rows: DataFrame) -> DataFrame:
     """Closest row of the other arm for every row (ties go to the lower score). One ordered scan inside
-    each score bucket; between buckets only the outermost rows of each arm are passed on."""
-    keyed = rows.withColumn("g", F.lit("all"))
-    b = keyed.withColumn("b", _bucket_of(_edges(keyed, "g", "s", 64), "g", "s"))
+    each range of scores; between ranges only the outermost rows of each arm are passed on."""
+    b = in_ranges(rows, "s", "id").withColumnRenamed("_part", "b")
     me = F.struct("s", "id")
     arm = lambda t: F.when(F.col("t") == t, me)
     up = W.partitionBy("b").orderBy("s", "id").rowsBetween(W.unboundedPreceding, -1)
@@ -52,7 +51,7 @@ def _nearest(rows: DataFrame) -> DataFrame:
     carried = ends.select("b", *[F.max(f"hi{t}").over(past).alias(f"p{t}") for t in (0, 1)], *[F.min(f"lo{t}").over(ahead).alias(f"n{t}") for t in (0, 1)])
     scan = b.withColumns({f"u{t}": F.last(arm(t), ignorenulls=True).over(up) for t in (0, 1)}).withColumns(
         {f"d{t}": F.last(arm(t), ignorenulls=True).over(down) for t in (0, 1)}
-    ).join(F.broadcast(carried), "b")  # one row per bucket, at most 64
+    ).join(carried, "b")  # one row per range
     other = lambda n, c: F.when(F.col("t") == 1, F.coalesce(f"{n}0", f"{c}0")).otherwise(F.coalesce(f"{n}1", f"{c}1"))
     x = scan.select("id", "t", "s", other("u", "p").alias("a"), other("d", "n").alias("z"))
     ga, gz = F.abs(F.col("s") - F.col("a.s")), F.abs(F.col("s") - F.col("z.s"))

@@ -2,12 +2,10 @@
 
 A plain ``rank() over (partition by feature order by value)`` puts a whole feature on one task.
 Here equal values are first counted (with map-side combine, so a value holding a third of all
-rows shrinks to one row), the distinct values are cut into buckets of about equal size, and only
-``(group, bucket)`` is ever sorted by one task. The offset of a bucket is a sum over at most
-``buckets`` rows per group.
-
-Bucket edges are fetched first and enter the plan as literals. They decide balance, never the
-result, and being literals they cannot change when an executor is lost and a stage runs again.
+rows shrinks to one row), the counted values are dealt in ranges of (group, value), as many as the
+session has shuffle partitions, and each range is sorted apart. The offset of a range is a sum over
+the ranges before it, one row each. The dealt ranges are stored, so a stage that runs again after
+the loss of an executor sees the same ones.
 """
 
 from __future__ import annotations
@@ -16,115 +14,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS = 64
-HOT_ROWS = 200_000  # a group up to this size is sorted by one task
-MAX_GROUPS = 5_000  # largest groups whose edges are fetched: bounds what reaches the driver
-
-
-def _big_groups(df: DataFrame, group: str, value: str) -> list:
-    """Keys of groups above HOT_ROWS, largest first, at most MAX_GROUPS + 1 of them."""
-    rows = (
-        df.groupBy(group)
-        .agg(F.count(value).alias("n"))
-        .where(F.col("n") > HOT_ROWS)
-        .orderBy(F.desc("n"), group)
-        .limit(MAX_GROUPS + 1)
-        .collect()
-    )
-    return [r[group] for r in rows]
-
-
-def _edges(df: DataFrame, group: str, value: str, buckets: int, big: list | None = None) -> dict:
-    """Inner bucket edges of the large groups; groups of ordinary size have none."""
-    big = _big_groups(df, group, value)[:MAX_GROUPS] if big is None else big[:MAX_GROUPS]
-    if not big:
-        return {}
-    probs = [i / buckets for i in range(1, buckets)]
-    rows = (
-        df.where(F.col(group).isin(big))
-        .groupBy(group)
-        .agg(F.percentile_approx(value, probs, 2000).alias("e"))
-        .collect()
-    )
-    return {r[group]: sorted({float(x) for x in r["e"]}) for r in rows}
-
+from ..session import cut_lineage
 
-def _bucket_of(edges: dict, group: str, value: str) -> Column:
-    """Number of the group's edges below the value. A few groups get a compiled binary search, many
-    groups a lookup of their edge array."""
-    if not edges:
-        return F.lit(0)
-    if len(edges) > 32:
-        none = F.array().cast("array<double>")
-        kv = [x for g, e in edges.items() for x in (F.lit(g), F.array(*[F.lit(v) for v in e]))]
-        own = F.coalesce(F.try_element_at(F.create_map(*kv), F.col(group)), none)
-        return F.size(F.filter(own, lambda e: e < F.col(value)))
 
-    def search(e: list[float], low: int) -> str:
-        if not e:
-            return str(low)
-        mid = len(e) // 2
-        return f"CASE WHEN `{value}` <= {e[mid]!r}D THEN {search(e[:mid], low)} ELSE {search(e[mid + 1:], low + mid + 1)} END"
+def in_ranges(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt in ranges of ``keys`` and stored; ``_part`` numbers the ranges in order."""
+    return cut_lineage(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
 
-    out = F.when(F.lit(False), 0)
-    for g, e in edges.items():
-        out = out.when(F.col(group) == F.lit(g), F.expr(search(e, 0)))
-    return out.otherwise(0)
 
-
-def rank_table(long: DataFrame, group: str = "feature", value: str = "value", buckets: int = BUCKETS, big: list | None = None) -> DataFrame:
+def rank_table(long: DataFrame, group: str = "feature", value: str = "value") -> DataFrame:
     """One row per (group, value): ``n`` equal rows, ``before`` rows below, ``total`` rows of the
-    group, ``avg_rank`` (1-based, ties averaged). Nulls and NaN are left out."""
+    group, ``avg_rank`` (1-based, ties averaged). Nulls and NaN are left out; a null group is a group."""
     clean = long.select(group, F.col(value).cast("double").alias(value)).where(
         F.col(value).isNotNull() & ~F.isnan(value)
     )
-    edges = _edges(clean, group, value, buckets, big)
-    counts = clean.groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))  # one shuffle, reused below
-    bucketed = counts.withColumn("bucket", _bucket_of(edges, group, value))
-    totals = bucketed.groupBy(group, "bucket").agg(F.sum("n").alias("bn"))
-    by_bucket = W.partitionBy(group).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    counts = in_ranges(clean.groupBy(group, value).agg(F.count(F.lit(1)).alias("n")), group, value)
+    totals = counts.groupBy(group, "_part").agg(F.sum("n").alias("_pn"))
+    by_part = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
-        group,
-        "bucket",
-        F.coalesce(F.sum("bn").over(by_bucket), F.lit(0)).alias("offset"),
-        F.sum("bn").over(W.partitionBy(group)).alias("total"),
+        F.col(group).alias("_og"),
+        F.col("_part").alias("_op"),
+        F.coalesce(F.sum("_pn").over(by_part), F.lit(0)).alias("_offset"),
+        F.sum("_pn").over(W.partitionBy(group)).alias("total"),
     )
-    inside = W.partitionBy(group, "bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(group, "_part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    before = F.col("_offset") + F.coalesce(F.col("_inner"), F.lit(0))
     return (
-        bucketed.withColumn("inner", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .join(offsets, [group, "bucket"])
-        .select(
-            group,
-            value,
-            "n",
-            (F.col("offset") + F.col("inner")).alias("before"),
-            "total",
-            (F.col("offset") + F.col("inner") + (F.col("n") + 1) / 2).alias("avg_rank"),
-        )
+        counts.withColumn("_inner", F.sum("n").over(inside))
+        .join(offsets, F.col(group).eqNullSafe(F.col("_og")) & (F.col("_part") == F.col("_op")))
+        .select(group, value, "n", before.alias("before"), "total", (before + (F.col("n") + 1) / 2).alias("avg_rank"))
     )
 
 
 def exact_quantiles(long: DataFrame, probs: dict[str, float], group: str = "feature", value: str = "value") -> DataFrame:
-    """Exact linear-interpolation quantiles: one row per group, one column per name in ``probs``.
-
-    Groups up to HOT_ROWS values use Spark's exact percentile, which keeps a group's distinct values in
-    one task's memory; the sizes are counted first. Larger groups go through the bucketed ranks.
-    """
-    clean = long.select(group, F.col(value).cast("double").alias(value)).where(
-        F.col(value).isNotNull() & ~F.isnan(value)
-    )
-    big = _big_groups(clean, group, value)
-    small = lambda df: df.groupBy(group).agg(*[F.percentile(value, F.lit(float(p))).alias(n) for n, p in probs.items()])
-    if not big:
-        return small(clean)
-    if len(big) > MAX_GROUPS:  # too many large groups to list: all groups take the spill-safe way
-        return _ranked_quantiles(rank_table(clean, group, value, big=big), probs, group, value)
-    is_big = F.col(group).isin(big)
-    ranks = rank_table(clean.where(is_big), group, value, big=big)
-    return small(clean.where(~is_big)).unionByName(_ranked_quantiles(ranks, probs, group, value))
-
-
-def _ranked_quantiles(ranks: DataFrame, probs: dict[str, float], group: str, value: str) -> DataFrame:
+    """Exact linear-interpolation quantiles from counted values: one row per group, one column per name in ``probs``."""
     out = []
     for name, p in probs.items():
         pos = F.lit(float(p)) * (F.col("total") - 1)
@@ -134,24 +57,17 @@ def _ranked_quantiles(ranks: DataFrame, probs: dict[str, float], group: str, val
         at_high = F.max(F.when(holds(F.least(low + 1, F.col("total") - 1)), F.col(value)))
         f = F.max(F.when(holds(low), frac))
         out.append((at_low + (at_high - at_low) * f).alias(name))
-    return ranks.groupBy(group).agg(*out)
+    return rank_table(long, group, value).groupBy(group).agg(*out)
 
 
 def text_ranks(df: DataFrame, column: str, out: str = "rank") -> DataFrame:
-    """(column, out): 0-based sorted position of every distinct text. The first six bytes give a number
-    that respects the order; buckets of that number are sorted apart and joined by offsets."""
-    head = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0")
-    words = df.select(column).where(F.col(column).isNotNull()).distinct()
-    keyed = words.withColumns({"_g": F.lit("all"), "_k": F.conv(head, 16, 10).cast("double")})
-    edges = _edges(keyed, "_g", "_k", BUCKETS)
-    if not edges:  # at most HOT_ROWS distinct texts
-        return words.select(column, (F.row_number().over(W.orderBy(column)) - 1).alias(out))
-    placed = keyed.withColumn("_b", _bucket_of(edges, "_g", "_k"))
-    totals = placed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    # at most BUCKETS rows
-    offsets = totals.select("_b", F.coalesce(F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    inside = F.row_number().over(W.partitionBy("_b").orderBy(column))
-    return placed.withColumn("_r", inside).join(offsets, "_b").select(column, (F.col("_o") + F.col("_r") - 1).alias(out))
+    """(column, out): 0-based sorted position of every distinct text."""
+    words = in_ranges(df.select(column).where(F.col(column).isNotNull()).distinct(), column)
+    totals = words.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per range
+    offsets = totals.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(column))
+    return words.withColumn("_r", inside).join(offsets, "_part").select(column, (F.col("_o") + F.col("_r") - 1).alias(out))
 
 
 def with_ranks(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -226,14 +142,14 @@ def dense_positions(df: DataFrame, key: str, order: str, out: str = "pos") -> Da
 
 def smallest_by_hash(df: DataFrame, group: str | None, row_id: str, k: Column, seed: str) -> DataFrame:
     """Keep the ``k`` rows per group with the smallest md5 of (id, seed); ``k`` may use ``_total``
-    (rows of the group). md5 is uniform, so its first 12 bits are equal-size buckets: whole
+    (rows of the group). md5 is uniform, so its first 16 bits are equal-size buckets: whole
     buckets below the cut pass, and only rows of the cut bucket are ranked. ``row_id`` is unique.
     """
     g = F.lit(0) if group is None else F.col(group)
     tagged = df.withColumn("_g", g).withColumn(
         "_h", F.md5(F.concat_ws("|", F.col(row_id).cast("string"), F.lit(seed)))
     )
-    tagged = tagged.withColumn("_b", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
+    tagged = tagged.withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
     totals = tagged.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy("_g").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     plan = totals.select(

@@ -209,7 +209,8 @@ def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     Equal (x, y) rows are counted first. With y ranked densely from 0, every binary digit of the rank
     splits the rows that agree on all higher digits: a 1 after a 0 in x order is a concordant pair, a 0
     after a 1 a discordant one. Each digit is a running count inside (digit, higher digits), so the whole
-    table is a grouped running sum. Only ``(group, x bucket)`` is sorted by one task.
+    table is a grouped running sum. Only ``(group, x bucket)`` is sorted by one task. ``s`` is the score
+    (concordant less discordant pairs) and ``var_s`` its variance under independence, corrected for ties.
     """
     long = None
     for i, (x, y) in enumerate(pairs):
@@ -229,7 +230,7 @@ def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     grouped = digits.select(
         "p", "bit", high.alias("h"), "rx", "tx", F.when(one == 1, F.col("n")).otherwise(0).alias("n1"), F.when(one == 0, F.col("n")).otherwise(0).alias("n0")
     ).groupBy("p", "bit", "h", "rx", "tx").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    bucket = F.floor(F.col("rx") * 256 / F.col("tx"))
+    bucket = F.floor(F.col("rx") / 65536)  # distinct values of x in one task, at any size
     b = grouped.withColumn("b", bucket)
     inner = W.partitionBy("p", "bit", "h", "b").orderBy("rx").rowsBetween(W.unboundedPreceding, -1)
     outer = W.partitionBy("p", "bit", "h").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
@@ -241,14 +242,21 @@ def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     score = run.groupBy("p").agg(
         F.sum(d(F.col("n1")) * (F.col("b0") + F.col("o0")) - d(F.col("n0")) * (F.col("b1") + F.col("o1"))).alias("s")
     )
+    m = d(F.col("m"))
     tied = lambda k: cells.groupBy("p", k).agg(F.sum("n").alias("m")).groupBy("p").agg(
-        F.sum("m").alias("N"), F.sum(d(F.col("m")) * (F.col("m") - 1) / 2).alias(f"t_{k}")
+        F.sum("m").alias("N"), F.sum(m * (m - 1) / 2).alias(f"t_{k}"), F.sum(m * (m - 1) * (m - 2)).alias(f"u_{k}"), F.sum(m * (m - 1) * (2 * m + 5)).alias(f"v_{k}")
     )
     t = score.join(tied("x"), "p").join(tied("y").drop("N"), "p")
+    # variance of the score under independence, corrected for ties
+    big = d(F.col("N"))
+    pairs_n = big * (big - 1)
+    var = (pairs_n * (2 * big + 5) - F.col("v_x") - F.col("v_y")) / 18 + 2 * F.col("t_x") * F.col("t_y") / F.nullif(pairs_n, F.lit(0.0)) + F.coalesce(
+        F.col("u_x") * F.col("u_y") / (9 * F.nullif(pairs_n * (big - 2), F.lit(0.0))), F.lit(0.0)
+    )
     whole = d(F.col("N")) * (F.col("N") - 1) / 2
     tau = F.col("s") / F.sqrt(F.nullif((whole - F.col("t_x")) * (whole - F.col("t_y")), F.lit(0.0)))
     name = lambda k: F.element_at(F.array(*[F.lit(p[k]) for p in pairs]), F.col("p") + 1)
-    return t.select(name(0).alias("x"), name(1).alias("y"), F.col("N").alias("n"), tau.alias("r"))
+    return t.select(name(0).alias("x"), name(1).alias("y"), F.col("N").alias("n"), tau.alias("r"), "s", var.alias("var_s"), (F.col("t_x") + F.col("t_y") > 0).alias("ties"))
 
 
 def outlier_flags(df: DataFrame, x: str, y: str, directions: int = 16) -> DataFrame:
@@ -293,18 +301,20 @@ def correlation_table(df: DataFrame, targets: list[str], features: list[str], th
     """n, r, 95% interval, p, BF10 and power for each (target, feature). A pair that cannot be computed
     has null statistics and a text in ``error``; with a threshold it is left out."""
     t = correlate(df, [(x, y) for x in targets for y in features], method)
+    if method != "kendall":
+        t = t.withColumns({"s": F.lit(None).cast("double"), "var_s": F.lit(None).cast("double"), "ties": F.lit(False)})
 
     @F.pandas_udf("low double, high double, p double, bf double, power double")
-    def tail(r: pd.Series, n: pd.Series) -> pd.DataFrame:
+    def tail(r: pd.Series, n: pd.Series, s: pd.Series, var: pd.Series, ties: pd.Series) -> pd.DataFrame:
         rows = []
-        for v, k in zip(r, n):
+        for v, k, score, spread, tied in zip(r, n, s, var, ties):
             k = int(k)
             if v is None or math.isnan(v) or k < 3:
                 rows.append((None,) * 5)
                 continue
             low, high = T.fisher_interval(v, k, T.norm_quantile(0.975))
             if method == "kendall":
-                p = T.norm_two_sided(v / math.sqrt(2 * (2 * k + 5) / (9 * k * (k - 1))))
+                p = T.kendall_two_sided(score, spread, k, bool(tied))
             else:
                 p = 0.0 if abs(v) >= 1 else T.t_two_sided(v * math.sqrt((k - 2) / (1 - v * v)), k - 2)
             bf = T.bayes_factor_correlation(v, k) if method == "pearson" else None
@@ -312,7 +322,7 @@ def correlation_table(df: DataFrame, targets: list[str], features: list[str], th
         return pd.DataFrame(rows, columns=["low", "high", "p", "bf", "power"], dtype=float)
 
     null = lambda c: F.nanvl(F.col(f"t.{c}"), F.lit(None).cast("double"))
-    out = t.withColumn("t", tail("r", "n")).select(
+    out = t.withColumn("t", tail("r", "n", "s", "var_s", "ties")).select(
         "x", "y", "n", "r", null("low").alias("ci_low"), null("high").alias("ci_high"), null("p").alias("p_val"), null("bf").alias("BF10"), null("power").alias("power"),
         F.when(F.col("r").isNull(), "no variance or too few rows").alias("error"),
     )
@@ -362,6 +372,19 @@ def correlation_matrix(df: DataFrame, columns: list[str], method: str = "pearson
     return both.unionByName(diag).withColumns({"strength": F.abs("r"), "distance": 1 - F.abs("r")})
 
 
+def reliability(paired: DataFrame, features: dict[str, tuple[str, str]], method: str = "pearson", least_r: float = 0.05, most_p: float = 0.1) -> DataFrame:
+    """Correlation of every feature across two conditions with p, BH-adjusted p and ``reliable``: |r| above
+    ``least_r`` and adjusted p below ``most_p``; strongest first, nulls last."""
+    names = {pair: f for f, pair in features.items()}
+    parts = [correlation_table(paired, [a], [b], None, method).withColumn("feature", F.lit(names[a, b])) for a, b in features.values()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    done = adjust_bh(out.select("feature", "n", "r", "p_val"))
+    reliable = F.coalesce((F.abs("r") > least_r) & (F.col("adjusted_p_value") < most_p), F.lit(False))
+    return done.withColumn("reliable", reliable).orderBy(F.desc_nulls_last("r"), "feature")
+
+
 # --- agreement -----------------------------------------------------------------------------
 
 
@@ -414,16 +437,15 @@ def icc_summary(icc: DataFrame, cut: float = 0.5) -> DataFrame:
 
 def robust_scale(df: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
     """(x - median) / IQR with exact quartiles, overall or within each level of ``by``. The quartile table
-    has one row per level and column."""
+    has one row per level and column; rows without a level are a level of their own."""
     g = F.col(by).cast("string") if by else F.lit("all")
     base = df.withColumn("_g", g)
-    long = melt(base, ["_g"], columns).select(F.concat_ws("\x1f", "_g", "feature").alias("feature"), "value")
+    long = melt(base, ["_g"], columns).select(F.struct("_g", "feature").alias("feature"), "value")
     q = exact_quantiles(long, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
-    parts = F.split("feature", "\x1f")
-    wide = q.select(F.get(parts, F.lit(0)).alias("_g"), F.get(parts, F.lit(1)).alias("_c"), "q1", "q2", "q3").groupBy("_g").pivot("_c", columns).agg(
+    wide = q.select(F.col("feature._g").alias("_level"), F.col("feature.feature").alias("_c"), "q1", "q2", "q3").groupBy("_level").pivot("_c", columns).agg(
         F.first("q2").alias("mid"), F.first(F.col("q3") - F.col("q1")).alias("iqr")
     )
-    joined = base.join(wide, "_g")
+    joined = base.join(wide, F.col("_g").eqNullSafe(F.col("_level")), "left")
     scaled = {c: (F.col(f"`{c}`") - F.col(f"`{c}_mid`")) / F.nullif(F.col(f"`{c}_iqr`"), F.lit(0.0)) for c in columns}
     return joined.withColumns(scaled).select(df.columns)
 

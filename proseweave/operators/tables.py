@@ -82,8 +82,9 @@ def fixed_sample(df: DataFrame, n: int, row_id: str, seed: str = "42") -> DataFr
     return smallest_by_hash(df, None, row_id, F.lit(n), seed)
 
 
-def shuffled(df: DataFrame, seed: int = 42) -> DataFrame:
-    return df.orderBy(F.rand(seed))
+def shuffled(df: DataFrame, row_id: str, seed: int = 42) -> DataFrame:
+    """Random order by md5 of the row id: the same for any partitioning."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.col(row_id).cast("string"), F.lit(seed))), row_id)
 
 
 def stack(frames: list[DataFrame]) -> DataFrame:

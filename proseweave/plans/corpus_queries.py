@@ -125,8 +125,8 @@ def labelled_corpus(spark, d):
     docs = V.table(spark, d, "documents").select(
         "doc_id", (c("n_chars") / 1000.0).alias("temperature"), (c("doc_id") % 3).cast("int").alias("clean_paraphase_type")
     )
-    lab = CL.category_codes(K.add_labels(docs), "combined_label", "cat_label")
-    return lab.select("doc_id", "temperature_enc", "paraphrase_enc", "combined_label", "cat_label", (c("random") < 1).alias("has_random"))
+    lab = CL.category_codes(K.add_labels(docs, row_id="doc_id"), "combined_label", "cat_label")
+    return lab.select("doc_id", "temperature_enc", "paraphrase_enc", "combined_label", "cat_label", F.round("random", 9).alias("random"))
 
 
 def five_part_story(spark, d):
@@ -424,7 +424,7 @@ WITH a AS (SELECT doc_id, n_chars / 1000.0 AS t, doc_id % 3 AS k FROM documents)
 b AS (SELECT doc_id, CASE WHEN t < 2 THEN 'low_temperature' WHEN t < 4 THEN 'medium_temperature' ELSE 'high_temperature' END AS temperature_enc,
   CASE WHEN k = 0 THEN 'no_paraphrase' ELSE 'paraphrase' END AS paraphrase_enc FROM a),
 l AS (SELECT *, temperature_enc || '_with_' || paraphrase_enc AS combined_label FROM b)
-SELECT *, CAST(dense_rank() OVER (ORDER BY combined_label) - 1 AS INTEGER) AS cat_label, TRUE AS has_random FROM l""",
+SELECT *, CAST(dense_rank() OVER (ORDER BY combined_label) - 1 AS INTEGER) AS cat_label, round(('0x' || substr(md5('42|' || doc_id), 1, 8))::BIGINT / 4294967296.0, 9) AS random FROM l""",
     "five_part_story": f"WITH {S.sentences_cte()} SELECT doc_id AS story_id, CASE WHEN len(s) >= 5 THEN array_to_string(s[1:5], ' ') END AS text FROM sent",
     "effective_text": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE upper(lang) END AS effective FROM documents",
     "marked_text": f"""

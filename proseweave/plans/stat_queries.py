@@ -76,6 +76,36 @@ def ttest_table(spark, d):
     return rnd(t, ["x", "y", "dof"], ["T", "cohen_d"], 5)
 
 
+def ttest_p(spark, d):
+    return rnd(ST.ttest_table(V.features(spark, d), ["is_r"], FEATURES, None), ["x", "y"], ["p_val"])
+
+
+def ranksum_p(spark, d):
+    return rnd(ST.ranksum_table(V.spread_features(spark, d), ["is_r"], FEATURES, None), ["x", "y"], ["pval"])
+
+
+def correlation_p(spark, d):
+    """p and 95 % interval of three correlations; Kendall's p is corrected for ties."""
+    out = None
+    for m in ("pearson", "spearman", "kendall"):
+        t = ST.correlation_table(V.features(spark, d), ["l_quantity"], ["l_discount", "l_tax"], None, m).withColumn("method", F.lit(m))
+        out = t if out is None else out.unionByName(t)
+    return rnd(out, ["method", "x", "y", "n"], ["r", "ci_low", "ci_high", "p_val"], 5)
+
+
+def anova_effects(spark, d):
+    return rnd(ST.anova_table(_three(spark, d), ["l_returnflag", "third"], FEATURES, None), ["x", "y"], ["np2"], 7)
+
+
+def spearman_matrix(spark, d):
+    return rnd(ST.correlation_matrix(V.features(spark, d), FEATURES, "spearman"), ["a", "b"], ["r", "strength", "distance"])
+
+
+def reliability_table(spark, d):
+    """Cross-condition reliability with p, adjusted p and the two thresholds."""
+    return rnd(ST.reliability(_paired(spark, d), _ICC), ["feature", "n", "reliable"], ["r", "p_val", "adjusted_p_value"], 5)
+
+
 def cohen_table(spark, d):
     t = ST.cohen_table(V.features(spark, d), "l_returnflag", "R", "A", FEATURES)
     return rnd(t, ["x", "y"], ["cohen"])
@@ -159,7 +189,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         average_ranks, pearson_table, spearman_table, spearman_with_gaps, kendall_table, correlation_matrix, top_correlations,
-        correlation_tests, adjusted_correlations, ranksum_table, ttest_table, cohen_table, anova_table, significant_anova, bh_adjust,
+        ttest_p, ranksum_p, correlation_p, anova_effects, spearman_matrix, reliability_table, correlation_tests, adjusted_correlations, ranksum_table, ttest_table, cohen_table, anova_table, significant_anova, bh_adjust,
         icc21, icc_summary, condition_reliability, zscore, robust_scale, shift_non_negative, ols_coefficients, ols_added_variance,
         ols_residuals, marginal_r2,
     )
@@ -218,7 +248,43 @@ _RA = lambda f: _GRP(f, "l_returnflag = 'R'", "l_returnflag = 'A'")
 _SD = "sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2))"
 _CORR = lambda a, b: f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM lineitem"
 
+# Two-sided tails by Simpson's rule over [0, |t|], written out in SQL.
+_SIMPSON = lambda t, f: f"greatest(0, 1 - 2 * {t} / 6000 * (SELECT sum(CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {f.replace('$', f'({t} * i / 2000)')}) FROM range(0, 2001) AS s(i)))"
+_NORM_P = lambda z: _SIMPSON(f"least(abs({z}), 40)", "exp(-$ * $ / 2) / sqrt(2 * pi())")
+_T_P = lambda t, k: _SIMPSON(f"least(abs({t}), 200)", f"exp(lgamma(({k} + 1) / 2.0) - lgamma({k} / 2.0) - ln({k} * pi()) / 2 - ({k} + 1) / 2.0 * ln(1 + $ * $ / {k}))")
+_R_P = _T_P("(r * sqrt((n - 2) / (1 - r * r)))", "(n - 2)")
+_KENDALL_P = lambda x, y: f"""(WITH g AS (SELECT {x} AS x, {y} AS y, count(*) AS n FROM lineitem GROUP BY ALL),
+  s AS (SELECT sum(CAST(a.n AS DOUBLE) * b.n * sign(b.y - a.y)) AS s FROM g a JOIN g b ON a.x < b.x),
+  tx AS (SELECT sum(m * (m - 1) / 2) AS t, sum(m * (m - 1) * (m - 2)) AS u, sum(m * (m - 1) * (2 * m + 5)) AS v FROM (SELECT CAST(sum(n) AS DOUBLE) AS m FROM g GROUP BY x)),
+  ty AS (SELECT sum(m * (m - 1) / 2) AS t, sum(m * (m - 1) * (m - 2)) AS u, sum(m * (m - 1) * (2 * m + 5)) AS v FROM (SELECT CAST(sum(n) AS DOUBLE) AS m FROM g GROUP BY y)),
+  w AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM lineitem),
+  z AS (SELECT w.n, s.s / sqrt((w.n * (w.n - 1) / 2 - tx.t) * (w.n * (w.n - 1) / 2 - ty.t)) AS r,
+    s.s / sqrt((w.n * (w.n - 1) * (2 * w.n + 5) - tx.v - ty.v) / 18 + 2 * tx.t * ty.t / (w.n * (w.n - 1)) + tx.u * ty.u / (9 * w.n * (w.n - 1) * (w.n - 2))) AS z FROM s, tx, ty, w)
+  SELECT 'kendall' AS method, '{x}' AS x, '{y}' AS y, n, r, {_NORM_P('z')} AS p FROM z)"""
+
 ORACLES = {
+    "ttest_p": _union(
+        f"""SELECT x, y, round({_T_P('t', 'k')}, 6) AS p_val FROM (SELECT 'is_r' AS x, '{f}' AS y, (ma - mb) / ({_SD} * sqrt(1.0 / na + 1.0 / nb)) AS t, (na + nb - 2)::DOUBLE AS k
+        FROM ({_GRP(f, "l_returnflag <> 'R'", "l_returnflag = 'R'")}))""" for f in FEATURES
+    ),
+    "ranksum_p": _union(
+        f"""SELECT x, y, round({_NORM_P('z')}, 6) AS pval FROM (SELECT 'is_r' AS x, '{f}' AS y, (r1 - n1 * (n + 1) / 2.0) / sqrt(n1 * (n - n1) * (n + 1) / 12.0) AS z
+        FROM (SELECT sum(a) FILTER (g) AS r1, CAST(count(*) FILTER (g) AS DOUBLE) AS n1, count(*) AS n FROM (SELECT {_RANK(f)} AS a, l_returnflag = 'R' AS g FROM lineitem)))""" for f in FEATURES
+    ),
+    "correlation_p": "SELECT method, x, y, n::BIGINT AS n, round(r, 5) AS r, round(tanh(atanh(r) - 1.959963984540054 / sqrt(n - 3)), 5) AS ci_low, round(tanh(atanh(r) + 1.959963984540054 / sqrt(n - 3)), 5) AS ci_high, round(p, 5) AS p_val FROM ("
+    + _union(
+        f"SELECT *, {_R_P} AS p FROM (SELECT '{m}' AS method, 'l_quantity' AS x, '{y}' AS y, count(*)::DOUBLE AS n, corr(a, b) AS r FROM (SELECT {g('l_quantity')} AS a, {g(y)} AS b FROM lineitem))"
+        for m, g in (("pearson", lambda v: v), ("spearman", _RANK)) for y in ("l_discount", "l_tax")
+    )
+    + " UNION ALL " + _union(f"SELECT * FROM {_KENDALL_P('l_quantity', y)}" for y in ("l_discount", "l_tax")) + ")",
+    "anova_effects": _anova("SELECT x, y, round(ssb / sst, 7) AS np2 FROM ss"),
+    "spearman_matrix": "SELECT a, b, round(r, 6) AS r, round(abs(r), 6) AS strength, round(1 - abs(r), 6) AS distance FROM ("
+    + _union(f"SELECT '{a}' AS a, '{b}' AS b, corr(u, v) AS r FROM (SELECT {_RANK(a)} AS u, {_RANK(b)} AS v FROM lineitem)" if a != b else f"SELECT '{a}' AS a, '{a}' AS b, 1.0::DOUBLE AS r" for a in FEATURES for b in FEATURES) + ")",
+    "reliability_table": f"""WITH {_PAIRED},
+c AS (SELECT 'mean_value' AS feature, count(*)::DOUBLE AS n, corr(mr, mp) AS r FROM pr UNION ALL SELECT 'n_events', count(*)::DOUBLE, corr(nr, np) FROM pr),
+p AS (SELECT *, {_R_P} AS p FROM c), k AS (SELECT *, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS m FROM p),
+j AS (SELECT *, (SELECT least(min(o.p * o.m / o.i), 1.0) FROM k o WHERE o.i >= k.i) AS q FROM k)
+SELECT feature, n::BIGINT AS n, abs(r) > 0.05 AND q < 0.1 AS reliable, round(r, 5) AS r, round(p, 5) AS p_val, round(q, 5) AS adjusted_p_value FROM j""",
     "average_ranks": _union(
         f"""SELECT DISTINCT '{f}' AS feature, CAST({f} AS DOUBLE) AS value, count(*) OVER (PARTITION BY {f}) AS n, rank() OVER (ORDER BY {f}) - 1 AS before,
         count(*) OVER () AS total, CAST({_RANK(f)} AS DOUBLE) AS avg_rank FROM lineitem""" for f in ("l_quantity", "l_discount", "l_extendedprice")

@@ -38,18 +38,18 @@ def separator_of(spark: SparkSession, path: str) -> str:
     return "\t" if line.count("\t") > line.count(",") else ","
 
 
-def read_delimited(spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str | None = None) -> DataFrame:
-    """A delimited file with a header. Quoted line breaks are allowed inside fields. Without a schema
-    all columns are strings: nothing is inferred, so the file is read once."""
-    reader = spark.read.options(header=True, sep=sep or separator_of(spark, path), multiLine=True, quote='"', escape='"')
+def read_delimited(spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str | None = None, line_breaks: bool = False) -> DataFrame:
+    """A delimited file with a header. Without a schema all columns are strings: nothing is inferred, so the file
+    is read once. ``line_breaks`` allows quoted line breaks inside fields, at the price of one task per file."""
+    reader = spark.read.options(header=True, sep=sep or separator_of(spark, path), multiLine=line_breaks, quote='"', escape='"')
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 
 
-def read_sweep(spark: SparkSession, paths: list[str] | str, schema: T.StructType = ALTERED) -> DataFrame:
-    """All runs of a sweep in one scan. The parameters are taken from the folder names; folders that do
+def read_sweep(spark: SparkSession, paths: list[str] | str, schema: T.StructType = ALTERED, line_breaks: bool = False) -> DataFrame:
+    """All runs of a sweep in one scan, files split over tasks unless fields hold ``line_breaks``. The parameters are taken from the folder names; folders that do
     not exist simply do not match the glob."""
     rows = (
-        spark.read.options(header=True, sep="\t", multiLine=True, quote='"', escape='"').schema(schema).csv(paths)
+        spark.read.options(header=True, sep="\t", multiLine=line_breaks, quote='"', escape='"').schema(schema).csv(paths)
         .withColumn("_f", F.col("_metadata.file_path"))
     )
     part = lambda i: F.regexp_extract(F.url_decode("_f"), RUN_FOLDER, i)

@@ -10,9 +10,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give CPU-heavy row work enough tasks. A table of many splits is left alone; one that Spark
-    would scan with fewer tasks than there are cores (one small file) is hashed over the cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
+    """Give CPU-heavy row work enough tasks. A table that Spark scans with at least one task per core is left
+    alone; one of fewer splits (one small file) is hashed, into as many parts as Spark sees fit."""
+    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
         return df
-    return df.repartition(2 * cores, *keys)
+    return df.repartition(*keys)

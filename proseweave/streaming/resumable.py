@@ -18,10 +18,12 @@ def enrich_new_rows(df: DataFrame, enrich: Enrich, path: str, key: str, strict:
     output row per input row; the check runs on a stored copy of the result before it is appended."""
     spark = df.sparkSession
     try:
-        done = spark.read.parquet(path).select(key)
-        todo = df.join(done, key, "left_anti")
-    except AnalysisException:
-        todo = df
+        stored = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # a missing or empty folder only
+            raise
+        stored = None
+    todo = cut_lineage(df if stored is None else df.join(stored.select(key), key, "left_anti"))
     result = cut_lineage(enrich(todo))  # a stored copy: what is checked is what is appended
     n_out = result.count()
     if strict:

@@ -89,7 +89,10 @@ def paraphrase_distinct(df: DataFrame, sentence: str, paraphraser: Paraphraser)
     ``mapInPandas`` around a model). Rows without a sentence keep a null."""
     todo = df.where(F.col(sentence).isNotNull()).select(F.col(sentence).alias("sentence")).distinct()
     done = paraphraser(todo).select(F.col("sentence").alias(sentence), "paraphrase")
-    return df.join(done, sentence, "left")
+    # rows without a sentence (most rows of an online run) never meet the join, where they would share one key
+    known = df.where(F.col(sentence).isNotNull()).join(done, sentence, "left").select(*df.columns, "paraphrase")
+    missing = df.where(F.col(sentence).isNull()).withColumn("paraphrase", F.lit(None).cast(done.schema["paraphrase"].dataType))
+    return known.unionByName(missing)
 
 
 def insert_online(sentences: Column, paraphrase: Column) -> Column:

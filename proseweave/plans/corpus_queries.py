@@ -150,7 +150,7 @@ def repaired_rows(spark, d):
     """Lines of eight tab fields kept, others dropped; the marker is deleted from the last field."""
     line = F.concat_ws(
         "\t", "lang", "source", "doc_id", "n_chars", F.lit("4"), F.lit("(1, 2)"), F.lit("['close']"),
-        F.concat(F.regexp_extract("text", r"^(\w+)", 1), F.lit("endoftextIllustration")),
+        F.concat(F.translate("text", "\t\n\r", "   "), F.lit("endoftextIllustration")),
     )
     broken = F.when(c("doc_id") % 10 == 3, F.concat(line, F.lit("\textra"))).otherwise(line)
     lines = V.table(spark, d, "documents").select(broken.alias("value"))
@@ -432,7 +432,7 @@ WITH {S.sentences_cte()}
 SELECT doc_id, CASE WHEN len(s) > 0 THEN replace(text, s[1], '<mark>' || s[1] || '</mark>') END AS marked FROM sent JOIN documents USING (doc_id)""",
     "repaired_rows": """
 SELECT lang AS prompt, source AS generated_text, CAST(doc_id AS VARCHAR) AS model_name, CAST(n_chars AS VARCHAR) AS temperature, '4' AS num_beams,
-  '(1, 2)' AS index_paraphrase, '[''close'']' AS paraphrase_type, regexp_extract(text, '^([a-zA-Z_0-9]+)', 1) AS altered_text
+  '(1, 2)' AS index_paraphrase, '[''close'']' AS paraphrase_type, translate(text, chr(9) || chr(10) || chr(13), '   ') AS altered_text
 FROM documents WHERE doc_id % 10 <> 3""",
     "row_composites": f"SELECT l_orderkey, l_linenumber, round({_MEAN4}, 4) AS mean, round({_STD4}, 4) AS std, round(1.96 * {_STD4} / 2, 4) AS ci FROM lineitem",
     "density_composites": _composite_sql(),

@@ -81,7 +81,7 @@ def paraphrase_vs_rest(spark, d):
 
 def distance_summary_wide(spark, d):
     v = V.story_vectors(spark, d).select("story_id", "pos", "vec")
-    wide = D.feature_table({"sentence_sim": v}, max_rows=N.MAX_SENTENCES, index=_vector_index(v))
+    wide = D.feature_table({"sentence_sim": v}, index=_vector_index(v))
     return _rounded(wide, ["story_id"], [x for x in wide.columns if x != "story_id"])
 
 

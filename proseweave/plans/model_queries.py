@@ -79,9 +79,9 @@ def psm_match(spark, d):
 
 
 def nearest_match(spark, d):
-    """Matching of suppliers' nations: customers of two segments paired by balance."""
-    rows = V.table(spark, d, "customer").where(c("c_mktsegment").isin("BUILDING", "MACHINERY")).select(
-        "c_custkey", (c("c_mktsegment") == "BUILDING").cast("int").alias("t"), (c("c_acctbal") / 100.0).alias("s")
+    """Customers of two segments paired with those of the others by balance."""
+    rows = V.table(spark, d, "customer").select(
+        "c_custkey", c("c_mktsegment").isin("BUILDING", "MACHINERY").cast("int").alias("t"), (c("c_acctbal") / 100.0).alias("s")
     )
     return MT.match_nearest(rows, "c_custkey", "t", "s", 0.2).select("treated", "control", F.round("gap", 6).alias("gap"))
 

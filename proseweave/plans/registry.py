@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import density as N
 from ..operators import distances as D
-from . import corpus_queries, distance_queries, model_queries, stat_queries, text_queries
+from . import composition_queries, corpus_queries, distance_queries, model_queries, stat_queries, text_queries
 from . import views as V
 
-FAMILIES = (text_queries, distance_queries, corpus_queries, stat_queries, model_queries)
+FAMILIES = (text_queries, distance_queries, corpus_queries, stat_queries, model_queries, composition_queries)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

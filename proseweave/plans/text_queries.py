@@ -8,6 +8,7 @@ from ..functions import labels as L
 from ..functions import predicates as P
 from ..functions import text as T
 from ..operators import cleaning as C
+from ..operators.compose import lemmatise
 from . import sqltext as S
 from . import views as V
 
@@ -61,7 +62,7 @@ def lemma_tokens(spark, d):
     lemmas = words.where("token like '%s' and length(token) > 3").select(
         "token", F.expr("substring(token, 1, length(token) - 1)").alias("lemma")
     )
-    return toks.join(lemmas, "token", "left").groupBy(F.coalesce("lemma", "token").alias("lemma")).agg(
+    return lemmatise(toks, lemmas).groupBy("lemma").agg(
         F.count(F.lit(1)).alias("n")
     )
 

@@ -38,9 +38,10 @@ def separator_of(spark: SparkSession, path: str) -> str:
     return "\t" if line.count("\t") > line.count(",") else ","
 
 
-def read_delimited(spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str | None = None, line_breaks: bool = False) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str | None = None, line_breaks: bool = True) -> DataFrame:
     """A delimited file with a header. Without a schema all columns are strings: nothing is inferred, so the file
-    is read once. ``line_breaks`` allows quoted line breaks inside fields, at the price of one task per file."""
+    is read once. ``line_breaks`` allows quoted line breaks inside fields, at the price of one task per file: turn it
+    off for files written from flattened texts."""
     reader = spark.read.options(header=True, sep=sep or separator_of(spark, path), multiLine=line_breaks, quote='"', escape='"')
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 

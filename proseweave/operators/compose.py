@@ -19,7 +19,7 @@ def fill_missing(df: DataFrame, columns: list[str], value: float = -1.0) -> Data
 
 
 def complete_rows(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows without a null in ``columns``."""
+    """Rows without a null or NaN in ``columns``."""
     return df.na.drop(subset=columns)
 
 

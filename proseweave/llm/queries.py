@@ -75,6 +75,35 @@ def _words_sql(text: str) -> str:
     return f"regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '{WORD}')"
 
 
+def _op3_sql() -> str:
+    topic = " ".join(f"WHEN {' OR '.join(f'contains(x, {chr(39)}{cue}{chr(39)})' for cue in cues)} THEN '{name}'" for name, cues in mixing.TOPICS)
+    out = f"""WITH d AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, CASE {topic} ELSE 'prose' END AS topic,
+  len(regexp_extract_all(x, '[^ \\t\\n\\x0b\\x0c\\r]+'))::BIGINT AS n_tokens FROM (SELECT *, coalesce(text, '') AS x FROM documents)),
+c AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS t FROM d GROUP BY ALL), total AS (SELECT sum(t) AS n FROM c)"""
+    for dim in mixing.DIMENSIONS:
+        out += f""",
+p_{dim} AS (SELECT {dim}, pow(sum(t), {mixing.TEMPER}) AS p FROM c GROUP BY {dim})"""
+    shares = ", ".join(f"p_{dim}.p / (SELECT sum(p) FROM p_{dim}) AS to_{dim}" for dim in mixing.DIMENSIONS)
+    joins = " ".join(f"JOIN p_{dim} USING ({dim})" for dim in mixing.DIMENSIONS)
+    out += f""",
+w0 AS (SELECT source, lang, topic, t, t AS w, {shares} FROM c {joins})"""
+    k = 0
+    for _ in range(mixing.SWEEPS):
+        for dim in mixing.DIMENSIONS:
+            out += f""",
+w{k + 1} AS (SELECT * EXCLUDE (w, h), CASE WHEN h > 0 THEN w * to_{dim} * (SELECT n FROM total) / h ELSE 0 END AS w FROM (SELECT *, sum(w) OVER (PARTITION BY {dim}) AS h FROM w{k}))"""
+            k += 1
+    out += f""",
+f AS MATERIALIZED (SELECT source, lang, topic, t, w, CASE WHEN t > 0 THEN w / t ELSE 0 END AS factor FROM w{k}), s0 AS (SELECT 0.0::DOUBLE AS s)"""
+    for r in range(mixing.CAP_ROUNDS):
+        out += f""",
+s{r + 1} AS (SELECT coalesce(greatest(0, {mixing.BUDGET} * sum(t) - sum(CASE WHEN factor * s >= 1 THEN t ELSE 0 END)) / nullif(sum(CASE WHEN factor * s >= 1 THEN 0 ELSE w END), 0), max(s)) AS s FROM f, s{r})"""
+    return out + f"""
+SELECT doc_id, source, lang, topic, n_tokens, round(factor, 6) AS weight, round(least(1, factor * s), 6) AS probability,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 < least(1, factor * s) AS kept
+FROM d JOIN f USING (source, lang, topic), s{mixing.CAP_ROUNDS}"""
+
+
 _OP4 = f"""WITH dw AS (SELECT doc_id, {_words_sql('text')} AS w FROM documents),
 bw AS (SELECT item_id, {_words_sql('text')} AS w FROM benchmark),
 win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS g
@@ -90,6 +119,25 @@ SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit
 FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+def _op7_sql() -> str:
+    rows = ", ".join(f"({k}, '{t.label}', {str(t.base).lower()}, string_split('{' '.join(t.words)}', ' '), {t.key_at[0]}, {t.key_at[1]})" for k, t in enumerate(licenses.TEMPLATES))
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_words_sql('text')} AS w FROM documents),
+t(tid, label, base, words, key_at, key_len) AS (VALUES {rows}),
+v AS (SELECT tid, label, base, key_at, key_len, unnest(words) AS word, unnest(range(len(words))) AS i FROM t),
+p AS (SELECT * FROM (SELECT rid, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d) WHERE word IN (SELECT word FROM v)),
+n AS (SELECT count(*) AS n FROM d), df AS (SELECT word, count(DISTINCT rid) AS c FROM p GROUP BY word),
+tw AS (SELECT *, ln((n + 1) / (coalesce(c, 0) + 0.5)) AS idf FROM v LEFT JOIN df USING (word), n),
+r AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY idf DESC, word, i) AS k, sum(idf) OVER (PARTITION BY tid) AS total, count(*) OVER (PARTITION BY tid) AS size FROM tw),
+cand AS (SELECT rid, tid, pos - i AS start FROM p JOIN r USING (word) WHERE k = 1),
+m AS (SELECT rid, tid, start, any_value(label) AS label, any_value(base) AS base, least(1, sum(idf) / any_value(total)) AS share
+  FROM cand JOIN r USING (tid) JOIN p USING (rid, word) WHERE p.pos = start + i GROUP BY rid, tid, start
+  HAVING count(*) FILTER (i >= key_at AND i < key_at + key_len) = any_value(key_len) AND count(*) FILTER (k = least(2, size)) = 1 AND sum(idf) / any_value(total) >= {licenses.LEAST_SHARE}),
+g AS (SELECT rid, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM m GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0)::DOUBLE, 9) AS score FROM d LEFT JOIN g USING (rid)"""
+
+
 def _term_sql(terms) -> str:
     return " + ".join(f"regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::INT" for t in terms)
 
@@ -129,4 +177,6 @@ FROM embeddings LEFT JOIN m ON vec_id = m.a LEFT JOIN n ON vec_id = n.a"""
 
 ORACLES = {
     "op1_covertree": _OP1,
+    "op3_mixing": _op3_sql(),
+    "op7_licenses": _op7_sql(),
     "op4_decontaminate": _OP4, "op10_url_filter": _op10_sql()}

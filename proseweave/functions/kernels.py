@@ -30,7 +30,16 @@ def multiset_jaccard(a, b) -> float:
 
 
 def jaccard_tile(a: list, b: list) -> np.ndarray:
-    return np.array([[multiset_jaccard(x, y) for y in b] for x in a], dtype=float).reshape(len(a), len(b))
+    """``multiset_jaccard`` of all rows of ``a`` against all rows of ``b``, from one count matrix for each block."""
+    ids: dict = {}
+    coded = [[ids.setdefault(t, len(ids)) for t in x] for x in (*a, *b)]
+    counts = np.zeros((len(coded), len(ids)), np.int32)
+    for row, x in zip(counts, coded):
+        np.add.at(row, x, 1)
+    left, right = counts[: len(a)], counts[len(a) :]
+    shared = np.array([np.minimum(row, right).sum(axis=1) for row in left], dtype=float).reshape(len(a), len(b))
+    total = left.sum(axis=1)[:, None] + right.sum(axis=1)[None, :] - shared
+    return np.where(total > 0, shared / np.maximum(total, 1), 1.0)
 
 
 def word_costs(a: np.ndarray, b: np.ndarray) -> np.ndarray:

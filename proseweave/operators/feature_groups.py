@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .regression import moments
 from .stats import correlation_matrix
 
@@ -99,7 +100,8 @@ def _batch_sums(df: DataFrame, columns: list[str], fn: Callable[[np.ndarray], np
 
 
 def by_ica(df: DataFrame, columns: list[str], n: int = 2, threshold: float = 0.4, steps: int = 200, tol: float = 1e-4, seed: int = 0) -> DataFrame:
-    """Symmetric fixed-point ICA (log-cosh). Every step is one aggregate over the rows."""
+    """Symmetric fixed-point ICA (log-cosh). Every step is one aggregate over a stored copy of the columns."""
+    df = cut_lineage(df.select(*[F.col(f"`{c}`") for c in columns]))
     mo = moments(df, columns)
     values, vectors = np.linalg.eigh(mo.cov)
     values, vectors = values[::-1][:n], vectors[:, ::-1][:, :n]
@@ -129,7 +131,8 @@ def by_ica(df: DataFrame, columns: list[str], n: int = 2, threshold: float = 0.4
 
 def by_nmf(df: DataFrame, columns: list[str], n: int = 2, threshold: float = 0.4, steps: int = 60, inner: int = 30, tol: float = 1e-4, seed: int = 0) -> DataFrame:
     """Non-negative factors. The row weights are a function of (row, factors) and are recomputed inside
-    each pass, so nothing row-sized is stored between steps."""
+    each pass over a stored copy of the columns, so nothing row-sized is stored between steps."""
+    df = cut_lineage(df.select(*[F.col(f"`{c}`") for c in columns]))
     low = df.agg(*[F.min(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     if any(v is not None and v < 0 for v in low):
         raise ValueError("negative values: shift the columns first")

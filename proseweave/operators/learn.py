@@ -6,6 +6,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -29,7 +30,6 @@ GRID = {
     "bootstrap": [True, False],
 }
 DEEPEST = 30  # Spark's limit for tree depth
-MAX_FOLD_GROUPS = 1_000_000
 
 
 def feature_sets(df: DataFrame) -> dict[str, list[str]]:
@@ -119,25 +119,28 @@ def permutation_importance(model, test: DataFrame, features: list[str], row_id:
     return acc.groupBy("f").agg(F.avg(F.lit(plain) - F.col("acc")).alias("importance"), F.stddev_pop("acc").alias("std")).select(name.alias("feature"), "importance", "std")
 
 
-def stratified_folds(df: DataFrame, group: str, target: str, k: int = 3) -> DataFrame:
+def stratified_folds(df: DataFrame, group: str, target: str, k: int = 3, block_groups: int = 50_000) -> DataFrame:
     """Add ``fold``: whole groups, largest class imbalance first, each to the fold where the class counts
-    stay most even. Works on the group x class histogram, one row per group."""
+    stay most even. Works on the group x class histogram, one row per group. Groups are dealt by hash into
+    blocks of about ``block_groups``, each balanced on its own task, so the folds are even for any number."""
     hist = df.groupBy(group).pivot(target).count().na.fill(0)
-    rows = hist.limit(MAX_FOLD_GROUPS + 1).collect()
-    if len(rows) > MAX_FOLD_GROUPS:
-        raise ValueError("too many groups for balanced folds; use hash_folds")
     names = [c for c in hist.columns if c != group]
-    counts = {r[group]: np.array([r[c] for c in names], float) for r in rows}
-    total = sum(counts.values())
-    load = np.zeros((k, len(names)))
-    fold_of = {}
-    for g in sorted(counts, key=lambda x: (-counts[x].std(), str(x))):
-        spread = [(np.std((load + np.eye(k)[f][:, None] * counts[g]) / total, axis=0).mean(), load[f].sum(), f) for f in range(k)]
-        best = min(spread)[2]
-        load[best] += counts[g]
-        fold_of[g] = best
+    blocks = hist.count() // block_groups + 1
+
+    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(_name=pdf[group].astype(str))
+        counts = pdf[names].to_numpy(float)
+        total, load = np.maximum(counts.sum(axis=0), 1), np.zeros((k, len(names)))
+        folds = np.zeros(len(pdf), int)
+        for i in sorted(range(len(pdf)), key=lambda i: (-counts[i].std(), pdf["_name"].iloc[i])):
+            uneven = [(np.std((load + np.eye(k)[f][:, None] * counts[i]) / total, axis=0).mean(), load[f].sum(), f) for f in range(k)]
+            folds[i] = min(uneven)[2]
+            load[folds[i]] += counts[i]
+        return pd.DataFrame({group: pdf[group], "fold": folds})
+
     schema = T.StructType([hist.schema[group], T.StructField("fold", T.IntegerType())])
-    table = df.sparkSession.createDataFrame(list(fold_of.items()), schema)
+    dealt = hist.withColumn("_block", F.pmod(F.xxhash64(group), F.lit(blocks)))
+    table = dealt.groupBy("_block").applyInPandas(assign, schema)
     return df.join(table, group)
 
 

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +77,17 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * back[starts]) if len(starts) else np.zeros(0, np.uint64)
 
 
+def squeeze(x: np.ndarray) -> bytes:
+    """Integers as compressed byte planes: the high bytes, mostly alike, fold together."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T) if len(x) else x
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def unsqueeze(raw: bytes, kind) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def per_text(texts: DataFrame, key: str, text: str, work: Callable[[pa.Array], list[pa.Array]], result: str) -> DataFrame:
     """``key`` and what ``work`` returns for each batch of whole texts; ``result`` is the schema of the result columns.
 

@@ -28,16 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .batches import chunks, mix, utf8
+from .batches import chunks, mix, squeeze, unsqueeze, utf8
 
 LENGTH = 50
 PIECE = 16
 #: Bytes of text in a share, about.
 SHARE_BYTES = 8 << 20
+#: Bytes of text whose positions are hashed at once.
+STEP_BYTES = 1 << 20
 #: An anchor is heavy if this many documents of the sample hold it.
 SAMPLE_DOCS, HEAVY = 20_000, 40
 _A, _B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -84,6 +87,31 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
     return where, h[where], text[starts[first]], where - starts[last], where - starts[first]
 
 
+# ---- documents dealt in shares
+
+_PACKED = "share long, ids binary, tags binary, sizes binary, texts binary"
+
+
+def _pack(batches: Iterator[pa.RecordBatch], shares: int) -> Iterator[pa.RecordBatch]:
+    """Texts of each share and batch as one compressed block: less to shuffle than rows of text."""
+    for batch in batches:
+        ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        data, offsets = utf8(batch.column(2))
+        for i, j in chunks(offsets, 2 * SHARE_BYTES):
+            for share, part in _groups(ids[i:j] % shares):
+                part = part + i
+                text = b"".join(data[offsets[k] : offsets[k + 1]].tobytes() for k in part)
+                row = (share, squeeze(ids[part]), squeeze(tags[part]), squeeze(np.diff(offsets)[part]), zstandard.ZstdCompressor(level=3).compress(text))
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["share", "ids", "tags", "sizes", "texts"])
+
+
+def _unpack(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Ids, tags, bytes and offsets of a share's texts."""
+    ids, tags, sizes = (np.concatenate([unsqueeze(x, np.int64) for x in table.column(c).to_pylist()] or [np.zeros(0, np.int64)]) for c in ("ids", "tags", "sizes"))
+    text = b"".join(zstandard.ZstdDecompressor().decompress(x) for x in table.column("texts").to_pylist())
+    return ids, tags, np.frombuffer(text, np.uint8), np.concatenate([[0], np.cumsum(sizes)])
+
+
 # ---- 1: live anchors
 
 
@@ -114,7 +142,7 @@ def _send_anchors(batches: Iterator[pa.RecordBatch], heavy: np.ndarray, buckets:
         data, offsets = utf8(batch.column(2))
         for i, j in chunks(offsets, SHARE_BYTES):
             at, h, own, where = [], [], [], 0
-            for a, b in chunks(offsets[i : j + 1] - offsets[i]):
+            for a, b in chunks(offsets[i : j + 1] - offsets[i], STEP_BYTES):
                 a, b = a + i, b + i
                 p, k, t, _, _ = anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 light = ~_in_sorted(k, heavy)
@@ -126,7 +154,8 @@ def _send_anchors(batches: Iterator[pa.RecordBatch], heavy: np.ndarray, buckets:
             for bucket, part in _groups(_bucket(h, buckets)):
                 part = part[np.argsort(h[part].astype(np.uint32), kind="stable")]
                 used, local = np.unique(own[part], return_inverse=True)
-                row = (bucket, h[part].astype(np.uint32).tobytes(), at[part].astype(np.uint32).tobytes(), local.astype(np.uint32).tobytes(), ids[used].tobytes(), tags[used].tobytes())
+                low = h[part].astype(np.uint32)
+                row = (bucket, squeeze(np.diff(low, prepend=np.uint32(0))), squeeze(at[part].astype(np.uint32)), squeeze(local.astype(np.uint32)), squeeze(ids[used]), squeeze(tags[used]))
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["bucket", "hashes", "places", "owners", "ids", "tags"])
 
 
@@ -134,11 +163,11 @@ def _alive(table: pa.Table, shares: int) -> pa.Table:
     """Places of the bucket's anchors that two ids hold, by share."""
     h, at, ids, tags = [], [], [], []
     for a, b, c, d, e in zip(*(table.column(x).to_pylist() for x in ("hashes", "places", "owners", "ids", "tags")), strict=True):
-        own = np.frombuffer(c, np.uint32)
-        h.append(np.frombuffer(a, np.uint32))
-        at.append(np.frombuffer(b, np.uint32))
-        ids.append(np.frombuffer(d, np.int64)[own])
-        tags.append(np.frombuffer(e, np.int64)[own])
+        own = unsqueeze(c, np.uint32)
+        h.append(np.cumsum(unsqueeze(a, np.uint32), dtype=np.uint32))
+        at.append(unsqueeze(b, np.uint32))
+        ids.append(unsqueeze(d, np.int64)[own])
+        tags.append(unsqueeze(e, np.int64)[own])
     h, at, ids, tags = (np.concatenate(x) for x in (h, at, ids, tags))
     order = np.argsort(h, kind="stable")
     h, at, ids, tags = h[order], at[order], ids[order], tags[order]
@@ -148,7 +177,10 @@ def _alive(table: pa.Table, shares: int) -> pa.Table:
 
 
 def _by_share(ids: np.ndarray, tags: np.ndarray, a: np.ndarray, b: np.ndarray, shares: int) -> pa.Table:
-    rows = [(s, ids[p].tobytes(), tags[p].tobytes(), a[p].astype(np.uint32).tobytes(), b[p].astype(np.uint32).tobytes()) for s, p in _groups(ids % shares)]
+    # by document, each of which is named once
+    order = np.lexsort((tags, ids))
+    ids, tags, a, b = ids[order], tags[order], a[order], b[order]
+    rows = [(s, squeeze(ids[p]), squeeze(tags[p]), squeeze(a[p].astype(np.uint32)), squeeze(b[p].astype(np.uint32))) for s, p in _groups(ids % shares)]
     return pa.Table.from_arrays([pa.array([r[k] for r in rows], pa.int64() if not k else pa.binary()) for k in range(5)], names=["share", "ids", "tags", "a", "b"])
 
 
@@ -157,7 +189,8 @@ _BACK = "share long, ids binary, tags binary, a binary, b binary"
 
 def _read_back(table: pa.Table) -> tuple[np.ndarray, ...]:
     kinds = (("ids", np.int64), ("tags", np.int64), ("a", np.uint32), ("b", np.uint32))
-    return tuple(np.frombuffer(b"".join(table.column(c).to_pylist()), kind).astype(np.int64) for c, kind in kinds)
+    parts = ([unsqueeze(raw, kind) for raw in table.column(c).to_pylist()] for c, kind in kinds)
+    return tuple(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in parts)
 
 
 # ---- 2: sorted, front-coded runs
@@ -211,8 +244,7 @@ WIDTH = LENGTH + 1  # the string to the right, padded, and its length as a last
 
 
 def _make_runs(docs: pa.Table, live: pa.Table, heavy: np.ndarray, buckets: int) -> Iterator[tuple]:
-    ids, tags = docs.column("id").to_numpy(), docs.column("tag").to_numpy()
-    data, offsets = utf8(docs.column("text").combine_chunks())
+    ids, tags, data, offsets = _unpack(docs)
     live_ids, live_tags, live_at, kind = _read_back(live)
     copies = set(zip(live_ids[kind == _COPY].tolist(), live_tags[kind == _COPY].tolist(), strict=True))
     places: dict[tuple[int, int], np.ndarray] = {}
@@ -225,7 +257,7 @@ def _make_runs(docs: pa.Table, live: pa.Table, heavy: np.ndarray, buckets: int)
         places[(int(live_ids[part[0]]), int(live_tags[part[0]]))] = live_at[part]
     got: list[tuple] = []
     seen: set[tuple[int, int]] = set()
-    for i, j in chunks(offsets):
+    for i, j in chunks(offsets, STEP_BYTES):
         base = offsets[i]
         own = offsets[i : j + 1] - base
         part = data[offsets[i] : offsets[j]]
@@ -277,11 +309,12 @@ def _make_runs(docs: pa.Table, live: pa.Table, heavy: np.ndarray, buckets: int)
         part = part[goes]
         lcp, rest = front_code(right[part])
         before = left[part][np.arange(LENGTH - PIECE)[None, :] >= LENGTH - PIECE - high[part, None]].tobytes()
-        yield number, lcp.tobytes(), rest, before, low[part].astype(np.uint8).tobytes(), high[part].astype(np.uint8).tobytes(), at[part].astype(np.uint32).tobytes(), ids[owner[part]].tobytes(), tags[owner[part]].tobytes()
+        pack = zstandard.ZstdCompressor(level=3).compress
+        yield number, squeeze(lcp), pack(rest), pack(before), squeeze(low[part].astype(np.uint8)), squeeze(high[part].astype(np.uint8)), squeeze(at[part].astype(np.uint32)), squeeze(ids[owner[part]]), squeeze(tags[owner[part]])
     done = np.concatenate(covered) if covered else np.zeros(0, np.int64)
     if len(done):
         # ranges that are known already pass through the merge as they are
-        yield -1 - int(ids[owner[done[0]]]) % 1024, b"", b"", b"", b"", b"", np.stack([at[done] - high[done], at[done] - low[done] + LENGTH], axis=1).astype(np.uint32).tobytes(), ids[owner[done]].tobytes(), tags[owner[done]].tobytes()
+        yield -1 - int(ids[owner[done[0]]]) % 1024, squeeze((at - high)[done].astype(np.uint32)), b"", b"", b"", b"", squeeze((at - low + LENGTH)[done].astype(np.uint32)), squeeze(ids[owner[done]]), squeeze(tags[owner[done]])
 
 
 _COPY = 1 << 31  # marks a document that is an exact copy
@@ -373,17 +406,17 @@ def cover(lcp: np.ndarray, left: np.ndarray, low: np.ndarray, high: np.ndarray,
 
 def _merge(table: pa.Table, shares: int) -> pa.Table:
     if table.column("bucket")[0].as_py() < 0:
-        at = np.frombuffer(b"".join(table.column("places").to_pylist()), np.uint32).reshape(-1, 2)
-        ids, tags = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("ids", "tags"))
-        return _by_share(ids, tags, at[:, 0], at[:, 1], shares)
+        a, b = (np.concatenate([unsqueeze(x, np.uint32) for x in table.column(c).to_pylist()]) for c in ("lcp", "places"))
+        ids, tags = (np.concatenate([unsqueeze(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("ids", "tags"))
+        return _by_share(ids, tags, a, b, shares)
     runs, columns = [], []
     for row in table.to_pylist():
-        lcp = np.frombuffer(row["lcp"], np.uint8)
-        low, high = (np.frombuffer(row[c], np.uint8).astype(np.int64) for c in ("low", "high"))
+        lcp, unpack = unsqueeze(row["lcp"], np.uint8), zstandard.ZstdDecompressor().decompress
+        low, high = (unsqueeze(row[c], np.uint8).astype(np.int64) for c in ("low", "high"))
         left = np.zeros((len(lcp), LENGTH - PIECE), np.uint8)
-        left[np.arange(LENGTH - PIECE)[None, :] >= LENGTH - PIECE - high[:, None]] = np.frombuffer(row["left"], np.uint8)
-        runs.append((front_decode(lcp, row["rest"], WIDTH), lcp.tolist()))
-        columns.append((left, low, high, np.frombuffer(row["places"], np.uint32).astype(np.int64), np.frombuffer(row["ids"], np.int64), np.frombuffer(row["tags"], np.int64)))
+        left[np.arange(LENGTH - PIECE)[None, :] >= LENGTH - PIECE - high[:, None]] = np.frombuffer(unpack(row["left"]), np.uint8)
+        runs.append((front_decode(lcp, unpack(row["rest"]), WIDTH), lcp.tolist()))
+        columns.append((left, low, high, unsqueeze(row["places"], np.uint32).astype(np.int64), unsqueeze(row["ids"], np.int64), unsqueeze(row["tags"], np.int64)))
     order, lcp = merge_runs(runs)
     order, lcp = np.array(order, np.int64), np.array(lcp, np.int64)
     # the strings of a run leave the merge in the run's own order
@@ -407,9 +440,9 @@ def _remove(docs: pa.Table, ranges: pa.Table) -> pa.Table:
     ids, tags, a, b = ids[order], tags[order], a[order], b[order]
     cuts = np.concatenate([[0], np.flatnonzero((np.diff(ids) != 0) | (np.diff(tags) != 0)) + 1, [len(ids)]]) if len(ids) else np.zeros(1, np.int64)
     by = {(int(ids[i]), int(tags[i])): (i, j) for i, j in zip(cuts[:-1], cuts[1:], strict=True)}
-    data, offsets = utf8(docs.column("text").combine_chunks())
+    doc_ids, doc_tags, data, offsets = _unpack(docs)
     out: list[tuple] = []
-    for k, name in enumerate(zip(docs.column("id").to_pylist(), docs.column("tag").to_pylist(), strict=True)):
+    for k, name in enumerate(zip(doc_ids.tolist(), doc_tags.tolist(), strict=True)):
         text = data[offsets[k] : offsets[k + 1]]
         gone = np.zeros(len(text), bool)
         if name in by and len(text) >= LENGTH:
@@ -468,10 +501,16 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     digests = named.select("id", "tag", F.sha2("text", 256).alias("sha"))
     least = digests.groupBy("sha").agg(F.min("id").alias("low"))
     copies = digests.join(least, "sha").where("id > low").select("id", "tag")
-    pack = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
-    flip = lambda c: F.concat(*[F.substring(pack(c), 8 - k, 1) for k in range(8)])  # noqa: E731  little-endian bytes of a long
-    mark = F.lit(bytearray(np.uint32(_COPY).tobytes()))
-    copied = cut_lineage(copies.select(F.pmod("id", F.lit(shares)).alias("share"), flip("id").alias("ids"), flip("tag").alias("tags"), mark.alias("a"), mark.alias("b")))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flag = np.full(batch.num_rows, _COPY)
+            yield from _by_share(batch.column(0).to_numpy(), batch.column(1).to_numpy(), flag, flag, shares).to_batches()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _pack(batches, shares)
+
+    copied = cut_lineage(copies.mapInArrow(mark, _BACK))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _send_anchors(batches, heavy.value, shares)
@@ -484,16 +523,14 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
 
     sent = named.mapInArrow(send, _SENT)
     live = cut_lineage(sent.groupBy("bucket").applyInArrow(alive, _BACK))
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of the step that is over
 
     def make_runs(docs: pa.Table, live: pa.Table) -> pa.Table:
         rows = list(_make_runs(docs, live, heavy.value, shares)) if docs.num_rows else []
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], pa.int64() if not k else pa.binary()) for k in range(len(_RUN_NAMES))], names=_RUN_NAMES)
 
-    shared = named.withColumn("share", F.pmod("id", F.lit(shares)))
+    shared = named.mapInArrow(pack, _PACKED)
     cut = shared.groupBy("share").cogroup(live.unionByName(copied).groupBy("share")).applyInArrow(make_runs, _RUN)
     ranges = cut_lineage(cut.groupBy("bucket").applyInArrow(merge, _BACK)).unionByName(copied)
-    spark.sparkContext._jvm.System.gc()
 
     done = shared.groupBy("share").cogroup(ranges.groupBy("share")).applyInArrow(_remove, _OUT)
     rest = docs.where("id is null").select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.col("text").alias("kept_text"))

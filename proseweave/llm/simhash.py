@@ -29,7 +29,7 @@ from .components import components, forest
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-PASSES = 8
+PASSES = 6
 BLOCK = 4096
 #: Entries of a bucket, about; the number of buckets follows from it and the number of fingerprints.
 BUCKET_ENTRIES = 1_500_000
@@ -136,8 +136,10 @@ def links(prints: DataFrame, radius: int = RADIUS, passes: int = PASSES) -> Data
     """``prints`` (fp, id; distinct fp) -> (a, b): links that connect exactly the ids whose fingerprints chain within the radius."""
     masks = ball(radius // 2)
     assert radius % 2 == 0, "half the radius must be whole"
-    total = prints.count() * len(masks)
-    buckets = int(max(64, total // passes // BUCKET_ENTRIES + 1))
+    count = prints.count()
+    buckets = int(max(64, count * len(masks) // passes // BUCKET_ENTRIES + 1))
+    # blocks of about equal size, each a task's work
+    prints = cut_lineage(prints.select("fp", "id").repartition(max(12, count // BLOCK + 1), "fp"))
     found = None
     for part in range(passes):
 
@@ -160,7 +162,6 @@ def links(prints: DataFrame, radius: int = RADIUS, passes: int = PASSES) -> Data
         sent = prints.mapInArrow(emit, "bucket long, keys binary, places binary, fps binary, ids binary")
         group = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("keys"), F.lit(64))).otherwise(F.col("bucket"))
         part_links = cut_lineage(sent.withColumn("bucket", group).groupBy("bucket").applyInArrow(meet, "a long, b long"))
-        prints.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of the pass that is over
         found = part_links if found is None else found.unionByName(part_links)
     return found
 
@@ -169,8 +170,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     """One row per document: key (a long), fp and component_id, the smallest key reachable by links."""
     marked = cut_lineage(fingerprints(documents, key, text).select(F.col(key).cast("long").alias(key), "fp"))
     prints = marked.groupBy("fp").agg(F.min(key).alias("id"))
-    known = cut_lineage(prints.where("id is not null").repartition(F.col("fp")))
-    groups = components(links(known.select("fp", "id"), radius, passes))
+    groups = components(links(prints.where("id is not null"), radius, passes))
     named = prints.join(groups, "id", "left").select(F.col("fp").alias("_fp"), F.coalesce("component_id", "id").alias("component_id"))
     return marked.join(named, F.col("fp") == F.col("_fp")).select(key, "fp", "component_id")
 

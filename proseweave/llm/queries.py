@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
 from ..sources.tables import table
 from . import covertree, decontaminate, language, licenses, mixing, pii, quality, simhash, suffixes, url_filter
 

@@ -1,5 +1,6 @@
 """The pipeline: every stage against a plain computation on the same input, and the whole run on the smallest tables."""
 
+import random
 import re
 
 import pytest
@@ -78,3 +79,39 @@ def test_run_on_empty_and_null_rows(spark, docs):
 def test_run(spark, docs):
     out = P.run(spark, SF)
     assert 0 < out.count() < docs.count()
+
+
+def test_near_copy_stage_against_brute_force_jaccard(spark, docs):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(4000)}"
+    passage = [word() for _ in range(60)]
+    texts = []
+    for size in (3, 5, 12, 40, 90, 200, 200):
+        base = passage[: size // 3] + [word() for _ in range(size)]
+        for edits in (0, 1, 1, 2, 3, 4, 5, 6):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    chain = [word() for _ in range(120)]  # each near the last one, the ends far apart
+    for _ in range(14):
+        texts.append(" ".join(chain))
+        chain = chain[9:] + [word() for _ in range(9)]
+    texts += [f"{' '.join(passage)} {word()}" for _ in range(20)] + [t.upper().replace(" ", " \n") for t in texts[:4]] + [None, "", " "]
+    rows = [(i, t) for i, t in zip(rng.sample(range(10**6), len(texts)), texts)] + [(r.doc_id, r.text) for r in docs.collect()]
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    low, changed = {i: i for i, _ in rows}, True
+    near = [(rows[x][0], rows[y][0]) for x in range(len(rows)) for y in range(x) if 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y])]
+    while changed:
+        changed = False
+        for a, b in near:
+            if low[a] != low[b]:
+                low[a] = low[b] = min(low[a], low[b])
+                changed = True
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], docs.schema)
+    stage = dict(P.STAGES)["near_duplicates"]
+    kept = [r.doc_id for r in stage(spark, frame, SF).collect()]
+    assert len(kept) == len(set(kept)) and set(kept) == {i for i, c in low.items() if i == c}

@@ -7,16 +7,18 @@ each of them.
 
 Defined cases: a null or empty text has no words; an item without words has no windows; repeated items all count;
 repeated documents give repeated results. The item list is broadcast in slices of at most ``slice_bytes``; a longer list
-takes several passes whose hits are merged by document id (then ids must be unique).
+adds its hits slice by slice inside each row, whatever its id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import per_text
+from .batches import CHUNK_BYTES, chunks, utf8
 
 SIZE = 10
 SLICE_BYTES = 16 << 20
@@ -105,33 +107,44 @@ def _slices(items: DataFrame, key: str, text: str, limit: int):
     yield block
 
 
+def _add_slice(spark, rows: DataFrame, block: list, size: int, kind: str, first: bool, last: bool) -> DataFrame:
+    """The hits of one slice of the items merged with those of the slices before, row by row; the text goes with the last."""
+    sent = spark.sparkContext.broadcast((build_tables([(i, t) for i, (_, t) in enumerate(block)], size), [str(k) for k, _ in block]))
+    result = {"n_words": pa.int64(), "spans": pa.list_(pa.int64()), "item_ids": pa.list_(pa.string())}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, names = sent.value
+        for batch in batches:
+            _, offsets = utf8(batch.column(1))
+            for start, end in chunks(offsets, 16 * CHUNK_BYTES):
+                part = batch.slice(start, end - start)
+                counts, spans, found = [], [], []
+                before = [([], [])] * part.num_rows if first else zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)
+                for value, (old_spans, old_items) in zip(part.column(1), before, strict=True):
+                    words = split_words(value.as_py())
+                    hit, numbers = scan(words, tables) if tables else ([], [])
+                    counts.append(len(words))
+                    spans.append(_merge_flat([old_spans, [x for span in hit for x in span]]))
+                    found.append(sorted({*old_items, *(names[i] for i in numbers)}))
+                made = [pa.array(c, t) for c, t in zip((counts, spans, found), result.values(), strict=True)]
+                kept = [part.column(0)] if last else [part.column(0), part.column(1)]
+                yield pa.RecordBatch.from_arrays([*kept, *made], names=["_key", "_text"][: len(kept)] + list(result))
+
+    return rows.mapInArrow(work, f"_key {kind}, {'' if last else '_text string, '}n_words bigint, spans array<bigint>, item_ids array<string>")
+
+
 def find_items(documents: DataFrame, items: DataFrame, size: int = SIZE, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """One row per document: key, n_words, spans (merged word spans inside occurrences), item_ids (text, sorted, distinct)."""
     spark = documents.sparkSession
-    passes = []
-    for block in _slices(items, item, item_text, slice_bytes):
-        sent = spark.sparkContext.broadcast((build_tables([(i, t) for i, (_, t) in enumerate(block)], size), [str(k) for k, _ in block]))
-
-        def work(column: pa.Array, sent=sent) -> list[pa.Array]:
-            tables, names = sent.value
-            counts, spans, found = [], [], []
-            for value in column:
-                words = split_words(value.as_py())
-                hit, numbers = scan(words, tables) if tables else ([], [])
-                counts.append(len(words))
-                spans.append([x for span in hit for x in span])
-                found.append(sorted({names[i] for i in numbers}))
-            return [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))]
-
-        passes.append((per_text, work))
-    if len(passes) == 1:
-        return per_text(documents, key, text, passes[0][1], "n_words bigint, spans array<bigint>, item_ids array<string>")
-    parts = [per_text(documents, key, text, work, "n_words bigint, spans array<bigint>, item_ids array<string>") for _, work in passes]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    merge = F.udf(_merge_flat, "array<bigint>")
-    return whole.groupBy(key).agg(F.max("n_words").alias("n_words"), merge(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    kind = documents.schema[key].dataType.simpleString()
+    rows = documents.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
+    slices = _slices(items, item, item_text, slice_bytes)
+    block, first = next(slices), True
+    while block is not None:
+        following = next(slices, None)
+        rows = _add_slice(spark, rows, block, size, kind, first, following is None)
+        block, first = following, False
+    return rows.withColumnRenamed("_key", key)
 
 
 def contaminated_column(documents: DataFrame, items: DataFrame, text: Column, size: int = SIZE, item: str = "item_id", item_text: str = "text", slice_bytes: int = SLICE_BYTES) -> Column:

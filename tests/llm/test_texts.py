@@ -76,6 +76,16 @@ def test_wu_manber(spark, slice_bytes):
     assert flagged == {r[0] for r in brute_contamination(docs, items) if r[-1]}
 
 
+@pytest.mark.parametrize("slice_bytes", [20, 1 << 20])
+def test_repeated_and_null_ids_keep_their_rows(spark, slice_bytes):
+    items = [(1, "a b c d"), (2, "e f g h"), (3, "c d e f"), (4, None)]
+    docs = [(7, "x a b c d e f g h"), (7, "x a b c d e f g h"), (7, "y e f g h"), (None, "a b c d z"), (None, "q"), (None, "q"), (8, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    out = decontaminate.contamination(decontaminate.find_items(d, b, slice_bytes=slice_bytes)).drop("spans", "item_ids")
+    assert sorted((tuple(r) for r in out.collect()), key=str) == brute_contamination(docs, items)
+
+
 def test_no_items_and_no_documents(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")

@@ -115,3 +115,10 @@ def test_near_copy_stage_against_brute_force_jaccard(spark, docs):
     stage = dict(P.STAGES)["near_duplicates"]
     kept = [r.doc_id for r in stage(spark, frame, SF).collect()]
     assert len(kept) == len(set(kept)) and set(kept) == {i for i, c in low.items() if i == c}
+
+
+def test_null_ids_are_decided_by_their_component(spark, docs):
+    rows = [(4, "a b c d e f"), (None, "a b c d e f"), (None, "u v w x y z"), (None, "u v w x y z"), (None, "k l m n o p")]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema)
+    kept = dict(P.STAGES)["near_duplicates"](spark, frame, SF).collect()
+    assert sorted((r.text, r.doc_id) for r in kept) == [("a b c d e f", 4), ("k l m n o p", None), ("u v w x y z", None)]

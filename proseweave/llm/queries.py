@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import covertree, decontaminate, language, licenses, mixing, pii, quality, simhash, suffixes, url_filter
+from . import covertree, decontaminate, language, licenses, mixing, pii, quality, resampling, simhash, suffixes, url_filter
 
 
 def _remainder(key: str, by: int) -> Column:
@@ -66,6 +66,12 @@ def op10_url_filter(spark: SparkSession, d: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, d, "pages")).select("page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft")
 
 
+def op12_resampling(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").select("doc_id", "text")
+    model = resampling.train(documents, table(spark, d, "benchmark"))
+    return resampling.resample(documents, model).drop("n_words")
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -153,6 +159,25 @@ c AS (SELECT *, CASE {rule} END AS rule, ({_term_sql(url_filter.STRICT)})::BIGIN
 SELECT page_id, host, path, rule, CASE {verdict} WHEN n_strict > 0 OR n_soft >= 2 THEN 'block' ELSE 'allow' END AS verdict, n_strict, n_soft FROM c"""
 
 
+_STEP = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+_OP12 = f"""WITH crc AS (SELECT list(list_reduce(range(8), lambda c, k: {_STEP}, i) ORDER BY i) AS t FROM range(256) r(i)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_words_sql('text')} AS w FROM documents),
+f AS (SELECT rid, unnest(w) AS w FROM d), g AS (SELECT unnest({_words_sql('text')}) AS w FROM benchmark),
+u AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM f UNION SELECT w FROM g)),
+v AS (SELECT w, xor(list_reduce(list_transform(range(1, len(x) + 1, 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)
+  % {resampling.BUCKETS} AS b FROM u, crc),
+s AS (SELECT b, count(*) AS s FROM f JOIN v USING (w) GROUP BY b), t AS (SELECT b, count(*) AS t FROM g JOIN v USING (w) GROUP BY b),
+n AS (SELECT (SELECT count(*) FROM f)::DOUBLE AS s_all, (SELECT count(*) FROM g)::DOUBLE AS t_all),
+gain AS (SELECT b, floor(1000 * ln(((coalesce(t, 0) + 1.0::DOUBLE) * (s_all + {resampling.BUCKETS})) / ((s + 1.0::DOUBLE) * (t_all + {resampling.BUCKETS}))))::BIGINT AS gain FROM s LEFT JOIN t USING (b), n),
+m AS (SELECT rid, sum(gain) AS total, count(*) AS k FROM f JOIN v USING (w) JOIN gain USING (b) GROUP BY rid),
+e AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(floor(total::DOUBLE / k), 0)::BIGINT AS weight,
+  floor(-1000 * ln(-ln((('0x' || substr(sha256('{resampling.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS noise FROM d LEFT JOIN m USING (rid)),
+r AS (SELECT doc_id, n_features, weight, weight + noise AS score, n_features >= {resampling.LEAST_WORDS} AS enough FROM e)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN enough AND row_number() OVER (PARTITION BY enough ORDER BY score DESC, doc_id NULLS LAST) <= (SELECT count(*) * {resampling.PERCENT} // 100 FROM r WHERE enough)
+  THEN row_number() OVER (PARTITION BY enough ORDER BY score DESC, doc_id NULLS LAST) END AS rank FROM r"""
+
+
 QUERIES = {
     "op1_covertree": op1_covertree,
     "op2_pii": op2_pii,
@@ -164,6 +189,7 @@ QUERIES = {
     "op8_suffixes": op8_suffixes,
     "op9_language": op9_language,
     "op10_url_filter": op10_url_filter,
+    "op12_resampling": op12_resampling,
 }
 _OP1 = """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
@@ -178,4 +204,4 @@ ORACLES = {
     "op1_covertree": _OP1,
     "op3_mixing": _op3_sql(),
     "op7_licenses": _op7_sql(),
-    "op4_decontaminate": _OP4, "op10_url_filter": _op10_sql()}
+    "op4_decontaminate": _OP4, "op10_url_filter": _op10_sql(), "op12_resampling": _OP12}

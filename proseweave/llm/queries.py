@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import covertree, decontaminate, language, licenses, mixing, pii, quality, resampling, simhash, suffixes, url_filter
+from . import centroids, covertree, decontaminate, language, licenses, mixing, pii, quality, resampling, simhash, suffixes, url_filter
 
 
 def _remainder(key: str, by: int) -> Column:
@@ -72,6 +72,10 @@ def op12_resampling(spark: SparkSession, d: str) -> DataFrame:
     return resampling.resample(documents, model).drop("n_words")
 
 
+def op13_centroids(spark: SparkSession, d: str) -> DataFrame:
+    return centroids.assignments(table(spark, d, "embeddings").select("vec_id", "embedding"))
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -178,6 +182,24 @@ SELECT doc_id, n_features, weight, score,
   THEN row_number() OVER (PARTITION BY enough ORDER BY score DESC, doc_id NULLS LAST) END AS rank FROM r"""
 
 
+def _op13_sql() -> str:
+    near = "list_sum(list_transform(list_zip(v.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    out = f"""WITH e AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {centroids.DIMS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT v, sha256('{centroids.SEED}:' || coalesce(vec_id::VARCHAR, '')) AS h FROM e ORDER BY h, v LIMIT {centroids.CLUSTERS}))"""
+    for r in range(centroids.ROUNDS + 1):
+        out += f""",
+a{r} AS MATERIALIZED (SELECT rid, (min((d, c)))[1] AS d, (min((d, c)))[2] AS c FROM (SELECT rid, c, {near} AS d FROM e AS v, c{r} AS c) GROUP BY rid)"""
+        if r < centroids.ROUNDS:
+            out += f""",
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(m, v) AS v FROM c{r} LEFT JOIN (SELECT c, list(q ORDER BY i) AS m FROM (SELECT c, i, ((s - ((s % n) + n) % n) // n)::BIGINT AS q
+  FROM (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(len(v))) AS i FROM a{r} JOIN e USING (rid)) GROUP BY c, i)) GROUP BY c) USING (c))"""
+    r = centroids.ROUNDS
+    return out + f"""
+SELECT vec_id, a.c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a{r} AS a JOIN e USING (rid) JOIN c{r} AS c ON a.c = c.c"""
+
+
 QUERIES = {
     "op1_covertree": op1_covertree,
     "op2_pii": op2_pii,
@@ -190,6 +212,7 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_url_filter": op10_url_filter,
     "op12_resampling": op12_resampling,
+    "op13_centroids": op13_centroids,
 }
 _OP1 = """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
@@ -204,4 +227,4 @@ ORACLES = {
     "op1_covertree": _OP1,
     "op3_mixing": _op3_sql(),
     "op7_licenses": _op7_sql(),
-    "op4_decontaminate": _OP4, "op10_url_filter": _op10_sql(), "op12_resampling": _OP12}
+    "op4_decontaminate": _OP4, "op10_url_filter": _op10_sql(), "op12_resampling": _OP12, "op13_centroids": _op13_sql()}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import centroids, covertree, decontaminate, language, licenses, mixing, pii, quality, resampling, simhash, suffixes, url_filter
+from . import centroids, covertree, decontaminate, language, licenses, mixing, pii, quality, resampling, secret_scan, simhash, suffixes, url_filter
 
 
 def _remainder(key: str, by: int) -> Column:
@@ -66,6 +66,10 @@ def op10_url_filter(spark: SparkSession, d: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, d, "pages")).select("page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft")
 
 
+def op11_secrets(spark: SparkSession, d: str) -> DataFrame:
+    return secret_scan.detect(table(spark, d, "documents"), secret_scan.train(secret_scan.labelled_table(spark)))
+
+
 def op12_resampling(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents").select("doc_id", "text")
     model = resampling.train(documents, table(spark, d, "benchmark"))
@@ -211,6 +215,7 @@ QUERIES = {
     "op8_suffixes": op8_suffixes,
     "op9_language": op9_language,
     "op10_url_filter": op10_url_filter,
+    "op11_secrets": op11_secrets,
     "op12_resampling": op12_resampling,
     "op13_centroids": op13_centroids,
 }

@@ -86,6 +86,23 @@ def nearest_match(spark, d):
     return MT.match_nearest(rows, "c_custkey", "t", "s", 0.2).select("treated", "control", F.round("gap", 6).alias("gap"))
 
 
+def caliper_match(spark, d):
+    """As ``nearest_match``, of scores that no two customers share, so that the greedy matching is one for any reader."""
+    rows = V.table(spark, d, "customer").select(
+        "c_custkey", c("c_mktsegment").isin("BUILDING", "MACHINERY").cast("int").alias("t"), (c("c_acctbal") / 100.0 + c("c_custkey") / 1e9).alias("s")
+    )
+    return MT.match_nearest(rows, "c_custkey", "t", "s", 0.2).select("treated", "control", F.round("gap", 6).alias("gap"))
+
+
+def psm_filter(spark, d):
+    """Paraphrased low-temperature rows kept with their matched controls: the rows kept, and how many there were."""
+    rows = _model_rows(spark, d).join(V.predictions(spark, d).select("doc_id", c("true").alias("combined_label")), "doc_id")
+    # size_score would part the arms, which are told by size
+    kept, counts = MT.filter_rows(rows, "psm", ["noise_score", "english_score"], "doc_id")
+    sizes = {x: counts.select(x).scalar() for x in ("before", "after")}
+    return kept.groupBy("combined_label").agg(F.count(F.lit(1)).alias("n")).withColumns(sizes)
+
+
 def forest_evaluation(spark, d):
     sets = {"all": COVARIATES, "size": ["size_score"]}
     t, _ = LN.train_and_evaluate(_model_rows(spark, d), sets, "cat_label", "source", 6, {"all": {"n_estimators": 10, "max_depth": 5}, "size": {"n_estimators": 10, "max_depth": 5}})
@@ -176,7 +193,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         confusion, confusion_shares, class_report, accuracy_f1, adjusted_errors, error_shares, context_auc, undersampled, group_split,
-        band_filter, psm_match, nearest_match, forest_evaluation, boosted_evaluation, permutation_importance, stratified_folds, random_search,
+        band_filter, psm_match, nearest_match, caliper_match, psm_filter, forest_evaluation, boosted_evaluation, permutation_importance, stratified_folds, random_search,
         sparse_cca, canonical_loadings, permutation_pvalue, feature_clusters, feature_pca, feature_factors, feature_ica, feature_nmf,
     )
 }
@@ -237,5 +254,14 @@ WITH b AS (SELECT l_orderkey, avg(l_quantity) AS l_quantity, avg(l_extendedprice
   FROM lineitem GROUP BY 1),
 w AS (SELECT *, l_quantity + 0.001 * l_extendedprice AS u1, l_discount + 2 * l_tax AS v1 FROM b)
 """ + " UNION ALL ".join(f"SELECT '{v}' AS x, '{x}' AS y, count(*) AS n, round(corr({v}, {x}), 6) AS r FROM w" for v in ("u1", "v1") for x in (*XS, *YS)),
+    "caliper_match": """
+WITH RECURSIVE r AS (SELECT c_custkey AS id, c_mktsegment IN ('BUILDING', 'MACHINERY') AS t, c_acctbal / 100.0 + c_custkey / 1e9 AS s FROM customer),
+p AS (SELECT a.id AS treated, b.id AS control, abs(a.s - b.s) AS gap, md5(a.id::VARCHAR || '|' || b.id::VARCHAR) AS h FROM r a JOIN r b ON a.t AND NOT b.t AND b.s BETWEEN a.s - 0.2 AND a.s + 0.2),
+m(treated, control, gap, h, taken) AS (
+  SELECT treated, control, gap, h, false FROM p
+  UNION ALL
+  SELECT treated, control, gap, h, row_number() OVER (PARTITION BY treated ORDER BY gap, h) = 1 AND row_number() OVER (PARTITION BY control ORDER BY gap, h) = 1
+  FROM (SELECT *, bool_or(taken) OVER (PARTITION BY treated) OR bool_or(taken) OVER (PARTITION BY control) AS over FROM m) WHERE NOT over)
+SELECT treated, control, round(gap, 6) AS gap FROM m WHERE taken""",
     "band_filter": f"WITH {_PRED} SELECT doc_id, tt || '_temperature' AS temperature_enc FROM p WHERE tt <> 'medium'",
 }

@@ -12,13 +12,12 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.rowstats import columns_matching
 from .evaluation import accuracy_f1, confusion, group_split
-from .ordered import rank_table
+from .permute import shuffled_donors
 
 # The search grid. Spark trees have no minimum split size; the draw keeps the parameter so
 # that the grid has its 288 points, and trees use the leaf size.
@@ -86,21 +85,6 @@ def train_and_evaluate(df: DataFrame, sets: dict[str, list[str]], target: str, g
     return table, cms
 
 
-def shuffled_donors(rows: DataFrame, row_id: str, repeats: int, seed: str = "42") -> DataFrame:
-    """(repeat, row_id, donor): ``repeats`` random permutations of the row ids. Each repeat ranks the rows
-    by two hashes, equal hashes by id; equal ranks are partners, so every row gives and takes once."""
-    base = rows.select(row_id, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
-
-    def placed(tag: str, name: str) -> DataFrame:
-        h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(row_id).cast("string"), F.lit(seed), F.lit(tag), F.col("repeat"))), 1, 13), 16, 10).cast("double")
-        keyed = base.withColumn("value", h)
-        ranks = rank_table(keyed, group="repeat").select("repeat", "value", F.col("before").alias("place"))
-        tie = F.row_number().over(W.partitionBy("repeat", "value").orderBy(row_id)) - 1
-        return keyed.withColumn("tie", tie).join(ranks, ["repeat", "value"]).select("repeat", (F.col("place") + F.col("tie")).alias("place"), F.col(row_id).alias(name))
-
-    return placed("row", row_id).join(placed("donor", "donor"), ["repeat", "place"]).drop("place")
-
-
 def permutation_importance(model, test: DataFrame, features: list[str], row_id: str, label: str = "label", repeats: int = 10, seed: str = "42") -> DataFrame:
     """(feature, importance, std): drop in accuracy when one column is shuffled, over ``repeats`` shuffles.
     All (repeat, feature) variants are scored in one transform."""

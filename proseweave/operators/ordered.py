@@ -70,6 +70,16 @@ def text_ranks(df: DataFrame, column: str, out: str = "rank") -> DataFrame:
     return words.withColumn("_r", inside).join(offsets, "_part").select(column, (F.col("_o") + F.col("_r") - 1).alias(out))
 
 
+def numbered(df: DataFrame, *order: str, out: str = "number") -> DataFrame:
+    """Add ``out``: the row's 0-based number in the order of ``order``, which tells rows apart. Ranges are numbered apart."""
+    dealt = in_ranges(df, *order)
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per range
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return cut_lineage(dealt.withColumn("_r", inside).join(offsets, "_part").select(*df.columns, (F.col("_o") + F.col("_r") - 1).alias(out)))
+
+
 def with_ranks(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Add average ranks (``columns``: source -> new name); null where the value is missing.
 

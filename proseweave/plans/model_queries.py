@@ -9,6 +9,7 @@ from ..operators import evaluation as EV
 from ..operators import feature_groups as FG
 from ..operators import learn as LN
 from ..operators import matching as MT
+from ..operators import permute as PM
 from . import views as V
 
 c = F.col
@@ -155,7 +156,7 @@ def canonical_loadings(spark, d):
 
 
 def permutation_pvalue(spark, d):
-    return CC.permutation_test(_variates(spark, d), "l_orderkey", 1, permutations=20)
+    return CC.permutation_test(_variates(spark, d), "l_orderkey", 1).withColumn("r", F.round("r", 6))
 
 
 FEATS = V.FEATURES
@@ -226,7 +227,31 @@ def _auc(band: str) -> str:
     return f"SELECT '{band}' AS context, round(({p1} * {n0} + ({p1} * {n1} + {p0} * {n0}) / 2) / nullif(({p1} + {p0}) * ({n1} + {n0}), 0), 6) AS auc"
 
 
+def _shuffle_sql(shuffles: int, walks: int = 4) -> str:
+    """Numbers ``i`` of table w and their donors in ``shuffles`` shuffles; n has the grid. A place beyond n is moved again."""
+    first = "(((xor(x, k) * %d) & %d))" % (PM.FACTORS[0], PM.MASK)
+    second = f"((xor({first}, {first} >> 15) * {PM.FACTORS[1]}) & {PM.MASK})"
+    hashed = lambda x, key: f"xor({second}, {second} >> 14)".replace("(x, k)", f"({x}, {key})")
+    keys = ", ".join(f"('0x' || substr(md5('42|' || rep || '|{s}'), 1, 7))::BIGINT AS k{s}" for s in range(PM.STEPS))
+    out = f"SELECT rep, i, i // cols AS l, i % cols AS c, k.*, n.* FROM w, n, (SELECT rep, {keys} FROM range({shuffles}) t(rep)) k"
+    kept = []
+    for walk in range(walks):
+        for s in range(PM.STEPS):
+            new = f"(l + {hashed('c', f'k{s}')}) % grid AS l" if s % 2 == 0 else f"(c + {hashed('l', f'k{s}')}) % cols AS c"
+            out = f"SELECT * REPLACE ({new}) FROM ({out})"
+        kept.append(f"SELECT rep, i, l * cols + c AS donor FROM ({out}) WHERE l * cols + c < n")
+        out = f"SELECT * FROM ({out}) WHERE l * cols + c >= n"
+    return " UNION ALL ".join(kept)
+
+
 ORACLES = {
+    "permutation_pvalue": f"""
+WITH w AS (SELECT l_quantity + 0.001 * l_extendedprice AS u, l_discount + 2 * l_tax AS v, i FROM (SELECT avg(l_quantity) AS l_quantity, avg(l_extendedprice) AS l_extendedprice,
+  avg(l_discount) AS l_discount, avg(l_tax) AS l_tax, row_number() OVER (ORDER BY l_orderkey) - 1 AS i FROM lineitem GROUP BY l_orderkey)),
+n AS (SELECT n, grid, (n + grid - 1) // grid AS cols FROM (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS grid FROM w)),
+o AS (SELECT avg(u) AS mu, avg(v) AS mv, stddev_pop(u) AS du, stddev_pop(v) AS dv, corr(u, v) AS r FROM w),
+p AS (SELECT rep, sum(w.u * y.v) AS s FROM ({_shuffle_sql(5000)}) x JOIN w ON w.i = x.i JOIN w AS y ON y.i = x.donor GROUP BY rep)
+SELECT 1 AS dimension, round(any_value(r), 6) AS r, count(*) FILTER (round(abs((s / n - mu * mv) / (du * dv)), 12) >= round(abs(r), 12)) / 5000.0 AS p FROM p, n, o""",
     "confusion": f"""WITH {_PRED}, {_CLS}
 SELECT a.l AS "true", b.l AS pred, (SELECT count(*) FROM nm WHERE nm."true" = a.l AND nm.pred = b.l) AS n FROM cls a, cls b""",
     "confusion_shares": f"""WITH {_PRED}, {_CLS}

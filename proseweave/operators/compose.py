@@ -10,6 +10,7 @@ from . import cleaning as CL
 from . import corpus as K
 from . import distances as D
 from .encode import Encoder, encode_distinct
+from .heavy import split_join
 
 
 def fill_missing(df: DataFrame, columns: list[str], value: float = -1.0) -> DataFrame:
@@ -35,10 +36,10 @@ def length_normalised(df: DataFrame, score: str, n: str, out: str) -> DataFrame:
 
 
 def lemmatise(tokens: DataFrame, lemmas: DataFrame, token: str = "token", lemma: str = "lemma") -> DataFrame:
-    """Add ``lemma``: the entry of the lemma table (token, lemma), else the token itself. Frequent tokens are a
-    skewed join key, which Spark splits or broadcasts by the table's measured size."""
+    """Add ``lemma``: the entry of the lemma table (token, lemma; a token once), else the token itself. Frequent tokens are
+    looked up apart from the rest, so they do not meet in one task."""
     table = lemmas.select(F.col(token), F.col(lemma).alias("_lemma"))
-    return tokens.join(table, token, "left").withColumn(lemma, F.coalesce("_lemma", token)).drop("_lemma")
+    return split_join(tokens, table, token, ["_lemma"]).withColumn(lemma, F.coalesce("_lemma", token)).drop("_lemma")
 
 
 def sentence_features(stories: DataFrame, encoders: dict[str, Encoder], key: str = "story_id", text: str = "altered_text", more_than: int = 2,

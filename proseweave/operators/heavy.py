@@ -69,8 +69,8 @@ def split_join(df: DataFrame, table: DataFrame, on: str, columns: list[str], sha
     """``df`` joined with the rows of ``table`` that have its value of ``on`` (left or inner), whatever the skew of ``on``.
 
     Values that hold ``share`` of the rows or more are joined by a broadcast of their few table rows: at most
-    1 / share + 1 keys, which are unique in ``table``. All others meet in a shuffle, where none of them can fill a task.
-    Rows with a null ``on`` never travel. ``columns`` of ``table`` are added."""
+    1 / share + 1 keys, which are unique in ``table`` (checked). All others are joined as Spark sees fit; in a shuffle none of
+    them can fill a task. Rows with a null ``on`` never travel. ``columns`` of ``table`` are added. ``df`` is read twice."""
     if how not in ("left", "inner"):
         raise ValueError("how must be left or inner")
     hot = heavy_values(df, on, share)
@@ -81,11 +81,11 @@ def split_join(df: DataFrame, table: DataFrame, on: str, columns: list[str], sha
         few = right.where(is_hot)
         if few.count() > len(hot):
             raise ValueError(f"{on} must be unique in the joined table")
-        parts = keyed.where(is_hot).join(F.broadcast(few), on, how).unionByName(keyed.where(~is_hot).join(right.where(~is_hot).hint("merge"), on, how))
+        parts = keyed.where(is_hot).join(F.broadcast(few), on, how).unionByName(keyed.where(~is_hot).join(right.where(~is_hot), on, how))
     else:
-        parts = keyed.join(right.hint("merge"), on, how)
+        parts = keyed.join(right, on, how)
     if how == "left":
         nothing = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in columns]
-        parts = parts.unionByName(df.where(F.col(on).isNull()).select("*", *nothing))
+        parts = parts.select(*df.columns, *columns).unionByName(df.where(F.col(on).isNull()).select("*", *nothing))
     return parts.select(*df.columns, *columns)
 

@@ -3,11 +3,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from proseweave.llm import mixing, pii, quality, simhash
+from proseweave.llm import mixing, nearcopies, pii, quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,19 +37,6 @@ def test_quality_stage(spark, docs):
     assert {r.doc_id for r in P.quality_stage(spark, docs, SF).collect()} == want
 
 
-def test_near_duplicate_stage_keeps_one_of_each_group(spark, docs):
-    rows = [(r.doc_id, simhash.fingerprint(r.text)) for r in docs.collect()]
-    low = {i: i for i, _ in rows}
-    changed = True
-    while changed:
-        changed = False
-        for i, a in rows:
-            for j, b in rows:
-                if low[j] < low[i] and bin(a ^ b).count("1") <= 4:
-                    low[i], changed = low[j], True
-    assert {r.doc_id for r in P.near_duplicate_stage(spark, docs, SF).collect()} == {i for i, c in low.items() if i == c}
-
-
 def test_decontamination_stage(spark, docs):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
     wins = {tuple(w[k : k + 10]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if (w := words(r.text)) for k in range(max(1, len(w) - 9))}
@@ -117,6 +105,47 @@ def test_near_copy_stage_against_brute_force_jaccard(spark, docs):
     assert len(kept) == len(set(kept)) and set(kept) == {i for i, c in low.items() if i == c}
 
 
+def test_pairs_of_sets_like_plain_counting():
+    rng = random.Random(8)
+    for n in (1, 2, 9, 40, 63):
+        base = [rng.randrange(1000) for _ in range(60)]
+        sets = [np.unique([rng.randrange(10**6) if rng.random() < 0.1 else h for h in base[: rng.randint(1, 60)]]).astype(np.int64) for _ in range(n)]
+        a, b = nearcopies.similar_pairs(sets)
+        want = {(i, j) for j in range(n) for i in range(j) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
+        assert set(zip(a.tolist(), b.tolist())) == want
+
+
+def test_a_group_of_loose_copies_makes_no_rows_of_pairs(spark, docs, monkeypatch):
+    rng = random.Random(9)
+    base, texts = [f"w{rng.randrange(10**6)}" for _ in range(200)], []
+    for _ in range(300):
+        copy = list(base)
+        for _ in range(4):
+            copy[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], docs.schema)
+    seen, plain = [], nearcopies._links
+    monkeypatch.setattr(nearcopies, "_links", lambda meetings, held: (seen.append(meetings.count()), plain(meetings, held))[1])
+    kept = {r.doc_id for r in nearcopies.keep_one(frame).collect()}
+    assert sum(seen) < 300 * 20  # 44,850 pairs
+    a, b = nearcopies.similar_pairs([nearcopies.shingles(t) for t in texts])
+    low = list(range(300))
+    for _ in range(300):
+        for i, j in zip(a, b):
+            low[i] = low[j] = min(low[i], low[j])
+    assert kept == {i for i in range(300) if low[i] == i}
+
+
+def test_extra_columns_keep_their_names_and_values(spark, docs):
+    names = ("topic", "n_tokens", "probability", "_tokens", "_node", "_source", "_kept", "_digest", "component", "id", "held")
+    frame = docs.select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for name, stage in P.STAGES:
+        frame = stage(spark, frame, SF)
+        rows = frame.collect()
+        assert rows and all(r[n] == f"{n}:{r.doc_id}" for r in rows for n in names), name
+    assert {"topic_", "n_tokens_", "probability_"} <= set(frame.columns)
+
+
 def test_null_ids_are_decided_by_their_component(spark, docs):
     rows = [(4, "a b c d e f"), (None, "a b c d e f"), (None, "u v w x y z"), (None, "u v w x y z"), (None, "k l m n o p")]
     frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema)

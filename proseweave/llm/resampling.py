@@ -77,7 +77,8 @@ class Buckets(dict):
 
 def head_of(documents: DataFrame, text: str = "text", longest: int = LONGEST, buckets: int = BUCKETS, entries: int = HEAD) -> Buckets:
     """The head: frequent words with their CRC states and, for runs of several words, frequent pairs with their buckets.
-    At most ``entries`` of both together, so the table is bounded by ``entries * HEAD_BYTES``."""
+    Each holds one in ``entries`` of all counts or more, so there are at most ``entries`` of both together, wherever they
+    are sorted out, and the table is bounded by ``entries * HEAD_BYTES``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Summary(entries)
@@ -95,9 +96,10 @@ def head_of(documents: DataFrame, text: str = "text", longest: int = LONGEST, bu
         if short:
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in short], pa.binary()), pa.array([n for _, n in short], pa.int64())], names=["feature", "n"])
 
-    counted = documents.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "feature binary, n long")
-    rows = counted.groupBy("feature").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "feature").limit(entries).collect()
-    features = [bytes(r.feature) for r in rows]
+    counted = cut_lineage(documents.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "feature binary, n long").groupBy("feature").agg(F.sum("n").alias("n")))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    rows = counted.where(F.col("n") * entries >= total).select("feature").collect()
+    features = sorted(bytes(r.feature) for r in rows)
     states = {f: zlib.crc32(f) for f in features if b" " not in f}
     return Buckets(states, {f: zlib.crc32(f) % buckets for f in features if b" " in f}, buckets)
 

@@ -25,11 +25,30 @@ def with_scores(means: DataFrame, scores: DataFrame, key: str) -> DataFrame:
     return means.join(scores.dropDuplicates(), key, "left")
 
 
+def _counted(df: DataFrame, count: str) -> DataFrame:
+    """Distinct rows and how often each occurs; equal rows are counted before they travel."""
+    return df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias(count))
+
+
+def merged_counts(features: DataFrame, syntax: DataFrame, on: str, keep: list[str] | None = None, count: str = "n") -> DataFrame:
+    """Inner join on the text itself, as distinct rows with the number of times each stands in the join.
+
+    Texts meet on a 128-bit digest and their length, and are then compared as they are. Equal rows of a side are one row
+    with a count, so k copies on either side make one row and not k * k. Rows without a text match nothing; columns that
+    both sides have, other than ``on``, are taken from ``features``."""
+    wanted = [c for c in (syntax.columns if keep is None else keep) if c != on and c not in features.columns]
+    key = [F.md5(F.col(on)).alias("_digest"), F.length(on).alias("_length")]
+    left = _counted(features.where(F.col(on).isNotNull()), "_left").select("*", *key)
+    right = _counted(syntax.where(F.col(on).isNotNull()).select(on, *wanted), "_right").select("*", *key).withColumnRenamed(on, "_text")
+    met = left.join(right, ["_digest", "_length"]).where(F.col(on) == F.col("_text"))
+    return met.select(on, *[c for c in features.columns if c != on], *wanted, (F.col("_left") * F.col("_right")).alias(count))
+
+
 def merge_on_text(features: DataFrame, syntax: DataFrame, on: str, keep: list[str] | None = None) -> DataFrame:
-    """Inner join on the text itself; repeated texts multiply. Long texts travel as they are: equal
-    text is the join condition, not an id."""
-    right = syntax if keep is None else syntax.select(on, *[c for c in keep if c != on])
-    return features.join(right, on)
+    """Inner join on the text itself; repeated texts multiply, when the rows are asked for (see ``merged_counts``)."""
+    counted = merged_counts(features, syntax, on, keep, "_n")
+    rows = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    return rows.drop("_n", "_copy")
 
 
 def aligned_update(df: DataFrame, other: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -206,7 +206,7 @@ def subject_means(spark, d):
 def text_merge(spark, d):
     docs = V.table(spark, d, "documents")
     syntax = docs.select("text", F.size(F.split("text", " ", -1)).alias("W"))
-    return TB.merge_on_text(docs.select("doc_id", "text"), syntax, "text", ["W"]).groupBy("doc_id", "W").agg(F.count(F.lit(1)).alias("copies"))
+    return TB.merged_counts(docs.select("doc_id", "text"), syntax, "text", ["W"]).groupBy("doc_id", "W").agg(F.sum("n").alias("copies"))
 
 
 def aligned_update(spark, d):

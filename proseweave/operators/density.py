@@ -234,23 +234,23 @@ ALTERNATIVE = {
 
 def density_table(vectors: DataFrame, methods: tuple[str, ...] = ("HDBSCAN", "MeanShift"), max_sentences: int = MAX_SENTENCES,
                   alternative: bool = False, key: str = KEY, pos: str = POS) -> tuple[DataFrame, list[str]]:
-    """All density columns of the stories inside the window, and the names of these columns."""
+    """One row for every story: its number of sentences and all density columns, and the names of the latter. The speed
+    columns cover stories of any length; the scores that solvers make are null beyond the window."""
     g = gather(vectors, max_sentences, key, pos)
-    out = g.select(key)
-    inside = vectors.join(g.select(key), key, "left_semi")
+    out = vectors.groupBy(key).agg(F.count(F.lit(1)).alias("num_sentences"))
     if alternative:
-        out = out.join(trajectory_score(inside, key, pos), key)
+        out = out.join(trajectory_score(vectors, key, pos), key, "left")
     else:
-        speed = narrative_speed(inside, key=key, pos=pos)
+        speed = narrative_speed(vectors, key=key, pos=pos)
         out = out.join(
-            speed.select(key, F.col("speed").alias("narrative_speed_score"), F.col("speed_norm").alias("narrative_speed_score_norm")), key
+            speed.select(key, F.col("speed").alias("narrative_speed_score"), F.col("speed_norm").alias("narrative_speed_score_norm")), key, "left"
         )
-    out = out.join(matrix_scores(g, key=key), key)
+    out = out.join(matrix_scores(g, key=key), key, "left")
     for m in methods:
         c = clustered_scores(g, m, key)
         out = out.join(
-            c.select(key, F.col("cluster_density").alias(f"cluster_density_score_{m}"), F.col("reverse_silhouette").alias(f"cluster_reverse_silhouette_score_{m}")), key
+            c.select(key, F.col("cluster_density").alias(f"cluster_density_score_{m}"), F.col("reverse_silhouette").alias(f"cluster_reverse_silhouette_score_{m}")), key, "left"
         )
     if alternative:
         out = out.withColumnsRenamed(ALTERNATIVE)
-    return out, [c for c in out.columns if c != key]
+    return out, [c for c in out.columns if c not in (key, "num_sentences")]

@@ -155,15 +155,16 @@ def cluster_labels_hdbscan(spark, d):
 
 def density_table(spark, d):
     t, names = N.density_table(V.story_vectors(spark, d))
-    return _rounded(t, ["story_id"], names)
+    return _rounded(t, ["story_id", "num_sentences"], names)
 
 
 def regression_variants(spark, d):
-    g = N.gather(V.story_vectors(spark, d))
-    out = g.select("story_id")
+    vectors = V.story_vectors(spark, d)
+    g = N.gather(vectors)
+    out = vectors.select("story_id").distinct()
     for m in ("Ridge", "ElasticNet"):
         s = N.matrix_scores(g, m)
-        out = out.join(s.select("story_id", f"regression_coef_density_score_{m}", f"regression_error_score_{m}"), "story_id")
+        out = out.join(s.select("story_id", f"regression_coef_density_score_{m}", f"regression_error_score_{m}"), "story_id", "left")
     return _rounded(out, ["story_id"], out.columns[1:])
 
 

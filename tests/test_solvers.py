@@ -74,3 +74,11 @@ def test_repetition_orders_the_scores(spark):
     assert got[0]["reduction_score_PCA_explained_variance"] < got[3]["reduction_score_PCA_explained_variance"]
     alt, alt_names = N.density_table(df, alternative=True)
     assert "trajectory_score" in alt_names and "reduction_score_RFE_Lasso" in alt_names and len(names) == 11
+
+
+def test_longer_stories_keep_a_row(spark):
+    rows = [(s, i, RNG.normal(size=8).tolist()) for s, n in ((1, 7), (2, 25)) for i in range(n)]
+    t, names = N.density_table(spark.createDataFrame(rows, "story_id long, pos long, vec array<double>"))
+    got = {r["story_id"]: r for r in t.collect()}
+    assert got[1]["num_sentences"] == 7 and all(got[1][c] is not None for c in names)
+    assert got[2]["num_sentences"] == 25 and got[2]["narrative_speed_score"] > 0 and got[2]["reduction_score_Lasso"] is None

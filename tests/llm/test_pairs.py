@@ -192,3 +192,9 @@ def test_loser_tree_merges_like_sorting():
             at[r] += 1
         assert out == sorted(x for s, _ in runs for x in s)
         assert lcp[1:] == [next((i for i in range(12) if a[i] != b[i]), 12) for a, b in zip(out, out[1:])]
+
+
+def test_string_labels_that_differ_in_signs_stay_apart(spark):
+    rows = [(k, [1.0, 0.0, 0.1 * (k % 2)], label) for k, label in enumerate(["a.b", "a_b", "a.b", "a_b", "a:b", "a/b"])]
+    found = covertree.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == [(0, 1, 0), (1, 1, 1), (2, 1, 0), (3, 1, 1), (4, 0, 4), (5, 0, 5)]

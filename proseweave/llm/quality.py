@@ -178,8 +178,11 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column, key: str = "do
         return [pa.array([features[a:b].astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())]
 
     packed = per_text(texts.select(F.struct("_id", "_label").alias("key"), "_text"), "key", "_text", work, "bag binary")
-    # documents of one id and text twice would weigh twice: keep one per id
-    rows = {r.i: r for r in packed.select(F.col("key._id").alias("i"), F.col("key._label").alias("y"), "bag").toLocalIterator()}
+    # one text for each id, the one of the smallest features: repeated ids must not weigh twice, nor their order count
+    rows = {}
+    for r in packed.select(F.col("key._id").alias("i"), F.col("key._label").alias("y"), "bag").toLocalIterator():
+        if r.i not in rows or r.bag < rows[r.i].bag:
+            rows[r.i] = r
     order = sorted(rows, key=lambda i: (hash_text(i), str(i)))
     return fit([np.frombuffer(rows[i].bag, np.int32).astype(np.int64) for i in order], np.array([rows[i].y == 1 for i in order], bool))
 

@@ -322,3 +322,14 @@ def test_urls(spark, url, want):
 
 def test_no_urls(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_quality_does_not_depend_on_the_order_of_repeated_ids(spark):
+    rows = [(k, f"word{k} plain text of some kind " * 3) for k in range(12)] + [(k, f"buy!! now$$ {k} " * 4) for k in range(12)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, quality int")
+    scores = []
+    for part in (rows, rows[::-1]):
+        docs = spark.createDataFrame(part, "doc_id long, text string").coalesce(1)
+        model = quality.train(docs, labels, F.lit(True))
+        scores.append(sorted((r.doc_id, round(r.score, 12)) for r in quality.score(docs, model).collect()))
+    assert scores[0] == scores[1]

@@ -140,11 +140,9 @@ v AS (SELECT tid, label, base, key_at, key_len, unnest(words) AS word, unnest(ra
 p AS (SELECT * FROM (SELECT rid, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d) WHERE word IN (SELECT word FROM v)),
 n AS (SELECT count(*) AS n FROM d), df AS (SELECT word, count(DISTINCT rid) AS c FROM p GROUP BY word),
 tw AS (SELECT *, ln((n + 1) / (coalesce(c, 0) + 0.5)) AS idf FROM v LEFT JOIN df USING (word), n),
-r AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY idf DESC, word, i) AS k, sum(idf) OVER (PARTITION BY tid) AS total, count(*) OVER (PARTITION BY tid) AS size FROM tw),
-cand AS (SELECT rid, tid, pos - i AS start FROM p JOIN r USING (word) WHERE k = 1),
-m AS (SELECT rid, tid, start, any_value(label) AS label, any_value(base) AS base, least(1, sum(idf) / any_value(total)) AS share
-  FROM cand JOIN r USING (tid) JOIN p USING (rid, word) WHERE p.pos = start + i GROUP BY rid, tid, start
-  HAVING count(*) FILTER (i >= key_at AND i < key_at + key_len) = any_value(key_len) AND count(*) FILTER (k = least(2, size)) = 1 AND sum(idf) / any_value(total) >= {licenses.LEAST_SHARE}),
+r AS (SELECT *, sum(idf) OVER (PARTITION BY tid) AS total FROM tw),
+m AS (SELECT rid, tid, pos - i AS start, any_value(label) AS label, any_value(base) AS base, least(1, sum(idf) / any_value(total)) AS share FROM p JOIN r USING (word) GROUP BY rid, tid, pos - i
+  HAVING count(*) FILTER (i >= key_at AND i < key_at + key_len) = any_value(key_len) AND sum(idf) / any_value(total) >= {licenses.LEAST_SHARE}),
 g AS (SELECT rid, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM m GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,

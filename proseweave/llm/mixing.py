@@ -1,17 +1,20 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame functions alone.
 
-The tokens of each (source, language, topic) cell are raked until the marginals of all three match their targets, in
-``sweeps`` sweeps over the three dimensions. The raked weight over the cell's tokens, scaled so that the expected number
-of sampled tokens is ``budget`` of all, is the probability of its documents (at most 1: what is above is shared out among
-the rest). A document is kept if the uniform that md5 gives its id is below that probability, so a repeated run keeps the
-same ones.
+The tokens of each (source, language, topic) cell are raked under the bound that no document can be taken more than once:
+the expected tokens of a cell are its tokens times min(1, factor), and each step of a sweep scales the factors of a
+category so that just this bounded sum meets its target. The bounded factor is the probability of the cell's documents,
+so the sample itself, not an unbounded weight, has the target marginals. A document is kept if the uniform that md5 gives
+its id is below its probability, so a repeated run keeps the same ones.
 
 Targets default to tempered marginals: a category's share to the power ``temper``, normalised; a table (category, share)
-may be given for each dimension instead, with categories it does not list at share 0. The cell table is as small as the
-categories allow; it is never collected.
+may be given for each dimension instead, with categories it does not list at share 0. The sample is to hold ``budget`` of
+all tokens. Where a category has fewer tokens than its share of that, all of them are its target and the rest of the
+budget goes to the other categories by their shares; ``target_report`` lists the share asked for, the share within
+reach and the share expected. The targets of three dimensions can still exclude each other; then the last dimension is met and
+the report shows the gap of the others. The cell table is as small as the categories allow; it is never collected.
 
 Defined cases: null source or language is the category ``(none)``; null and empty texts have no tokens, and documents in
-a cell without tokens get probability 0 unless the whole budget is everything; a null id has the uniform of the empty
+a cell without tokens get probability 0; a null id has the uniform of the empty
 string; repeated rows share their id's fate; an empty table gives an empty table.
 """
 
@@ -26,8 +29,7 @@ from ..session import cut_lineage
 DIMENSIONS = ("source", "lang", "topic")
 #: First topic with a cue in the text; ``prose`` if none has.
 TOPICS = (("credential", ("token = ", "TOKEN = ")), ("license", ("icensed under", "ICENSED", "MIT License")), ("contact", ("@",)), ("table", (" | ",)), ("shout", ("!!",)))
-SWEEPS = 10
-CAP_ROUNDS = 5
+SWEEPS = 12
 TEMPER = 0.5
 BUDGET = 0.5
 #: Cells up to this number are broadcast to the documents, more are joined by a shuffle.
@@ -78,41 +80,57 @@ def with_targets(cells: DataFrame, targets: dict[str, DataFrame] | None, temper:
     return cells
 
 
-def rake(cells: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
-    """Column ``w``: the tokens of each cell scaled sweep by sweep to the targets' shares of all tokens.
+def water_level(rows: DataFrame, by: list[str], avail: Column, weight: Column, total: Column) -> DataFrame:
+    """Column ``_level``: the x of each group at which the sum of min(avail, weight * x) is ``total``.
 
-    A cell's weight is t times one factor per category, so a sweep is three sums over the cells."""
+    In order of falling weight / avail a full prefix is followed by open rows. The x that each prefix implies rises while
+    its rows are full and falls after them, so the greatest one is the solution; two running sums give all."""
+    ratio, ties = F.when(avail > 0, weight / avail), list(DIMENSIONS)
+    ties = [d for d in ties if d in rows.columns]
+    down = W.partitionBy(*by).orderBy(ratio.desc_nulls_last(), *[F.col(d).asc() for d in ties]).rowsBetween(W.unboundedPreceding, -1)
+    up = W.partitionBy(*by).orderBy(ratio.asc_nulls_first(), *[F.col(d).desc() for d in ties]).rowsBetween(W.unboundedPreceding, 0)
+    out = rows.withColumns({"_before": F.coalesce(F.sum(avail).over(down), F.lit(0.0)), "_rest": F.sum(weight).over(up)})
+    out = out.withColumn("_level", F.when(F.col("_rest") > 0, (total - F.col("_before")) / F.col("_rest")))
+    return out.withColumn("_level", F.greatest(F.lit(0.0), F.coalesce(F.max("_level").over(W.partitionBy(*by)), F.lit(0.0)))).drop("_before", "_rest")
+
+
+def reachable(cells: DataFrame, budget: float) -> DataFrame:
+    """Columns ``in_<dimension>``: the tokens that each cell's category is to have in the sample; they sum to the budget."""
     total = cells.agg(F.sum("t")).first()[0] or 0.0
-    out = cells.withColumn("w", F.col("t"))
+    for d in DIMENSIONS:
+        marginal = cells.groupBy(d).agg(F.sum("t").alias("a"), F.max(f"to_{d}").alias("s")).withColumns({"s": F.when(F.col("a") > 0, F.col("s")).otherwise(0.0), "_all": F.lit(0)})
+        level = water_level(marginal, ["_all"], F.col("a"), F.col("s"), F.lit(budget * total))
+        cells = cells.join(level.select(d, F.least(F.col("a"), F.col("s") * F.col("_level")).alias(f"in_{d}")), d)
+    return cells
+
+
+def rake(cells: DataFrame, budget: float = BUDGET, sweeps: int = SWEEPS) -> DataFrame:
+    """Columns ``factor`` (unbounded, 0 without tokens) and ``p`` (at most 1): the expected tokens t * p meet ``in_<dimension>``."""
+    out = cut_lineage(reachable(cells, budget).withColumn("factor", F.when(F.col("t") > 0, 1.0).otherwise(0.0)))
     for sweep in range(sweeps):
         for d in DIMENSIONS:
-            held = F.sum("w").over(W.partitionBy(d))
-            out = out.withColumn("w", F.when(held > 0, F.col("w") * F.col(f"to_{d}") * F.lit(total) / held).otherwise(0.0))
-        if sweep % 5 == 4:
+            out = water_level(out, [d], F.col("t"), F.col("t") * F.col("factor"), F.col(f"in_{d}"))
+            out = out.withColumn("factor", F.col("factor") * F.col("_level")).drop("_level")
+        if sweep % 3 == 2:
             out = cut_lineage(out)
-    return out
+    return out.withColumn("p", F.least(F.lit(1.0), F.col("factor")))
 
 
-def calibrated(cells: DataFrame, budget: float = BUDGET, rounds: int = CAP_ROUNDS) -> DataFrame:
-    """Columns ``factor`` (w / t, 0 without tokens) and ``p``: probabilities whose expected tokens are ``budget`` of all.
-
-    Each round scales the cells below 1 to the tokens that the capped cells leave."""
-    out = cut_lineage(cells.withColumn("factor", F.when(F.col("t") > 0, F.col("w") / F.col("t")).otherwise(0.0)))
-    scale = 0.0
-    for _ in range(rounds):
-        full = F.col("factor") * F.lit(scale) >= 1
-        s = out.agg(F.sum("t").alias("t"), F.sum(F.when(full, F.col("t")).otherwise(0.0)).alias("capped"), F.sum(F.when(full, 0.0).otherwise(F.col("w"))).alias("open")).first()
-        if not s.open:
-            break
-        scale = max(0.0, budget * (s.t or 0.0) - s.capped) / s.open
-    return out.withColumn("p", F.least(F.lit(1.0), F.col("factor") * F.lit(scale)))
+def target_report(raked: DataFrame) -> DataFrame:
+    """One row per dimension and category: the shares of the sample's tokens asked for, within reach, and expected."""
+    parts = []
+    for d in DIMENSIONS:
+        sums = raked.groupBy(F.lit(d).alias("dimension"), F.col(d).alias("category")).agg(F.max(f"to_{d}").alias("asked"), F.max(f"in_{d}").alias("reach"), F.sum(F.col("t") * F.col("p")).alias("sampled"))
+        every = W.partitionBy("dimension")
+        parts.append(sums.select("dimension", "category", "asked", (F.col("reach") / F.sum("reach").over(every)).alias("reachable"), (F.col("sampled") / F.sum("sampled").over(every)).alias("expected")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def mix(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, sweeps: int = SWEEPS, temper: float = TEMPER) -> DataFrame:
     """All documents with ``_source``, ``_lang``, ``_topic``, ``_tokens``, ``_factor``, ``_probability`` and ``_kept``."""
     rows = described(documents, text, source, lang)
     cells = cut_lineage(cells_of(rows))
-    fitted = cut_lineage(calibrated(rake(with_targets(cells, targets, temper), sweeps), budget))
+    fitted = cut_lineage(rake(with_targets(cells, targets, temper), budget, sweeps))
     small = fitted.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], F.col("factor").alias("_factor"), F.col("p").alias("_probability"))
     if small.count() <= BROADCAST_CELLS:
         small = F.broadcast(small)

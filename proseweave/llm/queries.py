@@ -99,22 +99,33 @@ p_{dim} AS (SELECT {dim}, pow(sum(t), {mixing.TEMPER}) AS p FROM c GROUP BY {dim
     shares = ", ".join(f"p_{dim}.p / (SELECT sum(p) FROM p_{dim}) AS to_{dim}" for dim in mixing.DIMENSIONS)
     joins = " ".join(f"JOIN p_{dim} USING ({dim})" for dim in mixing.DIMENSIONS)
     out += f""",
-w0 AS (SELECT source, lang, topic, t, t AS w, {shares} FROM c {joins})"""
+c1 AS (SELECT source, lang, topic, t, {shares} FROM c {joins})"""
+
+    def level(name, rows, by, avail, weight, total, ties):
+        down, up = ", ".join(ties), ", ".join(f"{t} DESC" for t in ties)
+        part = f"PARTITION BY {by} " if by else ""
+        ratio = f"CASE WHEN {avail} > 0 THEN {weight} / {avail} END"
+        return f""",
+{name} AS (SELECT * EXCLUDE (l), greatest(0, coalesce(max(l) OVER ({part}), 0)) AS x FROM (SELECT * EXCLUDE (b, r), CASE WHEN r > 0 THEN ({total} - coalesce(b, 0)) / r END AS l FROM (SELECT *,
+  sum({avail}) OVER ({part}ORDER BY {ratio} DESC NULLS LAST, {down} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b,
+  sum({weight}) OVER ({part}ORDER BY {ratio} ASC NULLS FIRST, {up} ROWS UNBOUNDED PRECEDING) AS r FROM {rows})))"""
+
+    for dim in mixing.DIMENSIONS:
+        out += level(f"l_{dim}", f"(SELECT {dim}, sum(t) AS a, CASE WHEN sum(t) > 0 THEN max(to_{dim}) ELSE 0 END AS s FROM c1 GROUP BY {dim})", "", "a", "s", f"{mixing.BUDGET} * (SELECT n FROM total)", [dim])
+    reach = ", ".join(f"least(l_{dim}.a, l_{dim}.s * l_{dim}.x) AS in_{dim}" for dim in mixing.DIMENSIONS)
+    out += f""",
+f0 AS MATERIALIZED (SELECT source, lang, topic, t, CASE WHEN t > 0 THEN 1.0::DOUBLE ELSE 0 END AS factor, {reach} FROM c1 {" ".join(f"JOIN l_{dim} USING ({dim})" for dim in mixing.DIMENSIONS)})"""
     k = 0
     for _ in range(mixing.SWEEPS):
         for dim in mixing.DIMENSIONS:
+            out += level(f"x{k}", f"f{k}", dim, "t", "(t * factor)", f"in_{dim}", mixing.DIMENSIONS)
             out += f""",
-w{k + 1} AS (SELECT * EXCLUDE (w, h), CASE WHEN h > 0 THEN w * to_{dim} * (SELECT n FROM total) / h ELSE 0 END AS w FROM (SELECT *, sum(w) OVER (PARTITION BY {dim}) AS h FROM w{k}))"""
+f{k + 1} AS MATERIALIZED (SELECT * EXCLUDE (x) REPLACE (factor * x AS factor) FROM x{k})"""
             k += 1
-    out += f""",
-f AS MATERIALIZED (SELECT source, lang, topic, t, w, CASE WHEN t > 0 THEN w / t ELSE 0 END AS factor FROM w{k}), s0 AS (SELECT 0.0::DOUBLE AS s)"""
-    for r in range(mixing.CAP_ROUNDS):
-        out += f""",
-s{r + 1} AS (SELECT coalesce(greatest(0, {mixing.BUDGET} * sum(t) - sum(CASE WHEN factor * s >= 1 THEN t ELSE 0 END)) / nullif(sum(CASE WHEN factor * s >= 1 THEN 0 ELSE w END), 0), max(s)) AS s FROM f, s{r})"""
     return out + f"""
-SELECT doc_id, source, lang, topic, n_tokens, round(factor, 6) AS weight, round(least(1, factor * s), 6) AS probability,
-  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 < least(1, factor * s) AS kept
-FROM d JOIN f USING (source, lang, topic), s{mixing.CAP_ROUNDS}"""
+SELECT doc_id, source, lang, topic, n_tokens, round(factor, 6) AS weight, round(least(1, factor), 6) AS probability,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 < least(1, factor) AS kept
+FROM d JOIN f{k} USING (source, lang, topic)"""
 
 
 _OP4 = f"""WITH dw AS (SELECT doc_id, {_words_sql('text')} AS w FROM documents),

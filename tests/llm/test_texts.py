@@ -170,17 +170,53 @@ def test_field_without_examples_tags_nothing(spark):
 # ---- mixing
 
 
-def test_raking_meets_the_targets(spark):
+def plain_level(avail, weight, total):
+    """The x at which the sum of min(avail, weight * x) is total, by bisection."""
+    low, high = 0.0, 1.0
+    while np.minimum(avail, weight * high).sum() < total * (1 - 1e-12) and high < 1e12:
+        high *= 2
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if np.minimum(avail, weight * mid).sum() < total else (low, mid)
+    return high
+
+
+def mixed_rows(spark, n=400):
     rng = random.Random(5)
-    rows = [(i, rng.choice("stu"), rng.choice(["en", "de", None]), rng.choice(["x " * rng.randint(1, 30), "a@b " * 3, "token = q " * 4])) for i in range(400)]
-    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
-    cells = mixing.calibrated(mixing.rake(mixing.with_targets(mixing.cells_of(mixing.described(df)), None, 0.5), 30), 0.4).toPandas()
-    for d in mixing.DIMENSIONS:
-        share = cells.groupby(d)["w"].sum() / cells["w"].sum()
-        want = cells.groupby(d)["t"].sum() ** 0.5
-        assert np.allclose(share, want / want.sum(), atol=1e-6)
-    assert abs((cells["p"] * cells["t"]).sum() - 0.4 * cells["t"].sum()) < 1e-6 * cells["t"].sum()
+    rows = [(i, rng.choice("stu"), rng.choice(["en", "de", None]), rng.choice(["x " * rng.randint(1, 30), "a@b " * 3, "token = q " * 4])) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+
+
+@pytest.mark.parametrize("budget", [0.4, 0.8])
+def test_raking_meets_the_targets(spark, budget):
+    """The sample's own marginals meet what is within reach, though cells are full; reach is the share asked for up to all tokens."""
+    raked = mixing.rake(mixing.with_targets(mixing.cells_of(mixing.described(mixed_rows(spark))), None, 0.5), budget, 30)
+    cells = raked.toPandas()
     assert cells["p"].between(0, 1).all()
+    assert abs((cells["p"] * cells["t"]).sum() - budget * cells["t"].sum()) < 1e-6 * cells["t"].sum()
+    for d in mixing.DIMENSIONS:
+        by = cells.groupby(d)["t"].sum()
+        want = np.minimum(by, by**0.5 * plain_level(by.to_numpy(), (by**0.5).to_numpy(), budget * by.sum()))
+        assert np.allclose(cells.groupby(d)[f"in_{d}"].max(), want, rtol=1e-9)
+        assert np.allclose((cells["p"] * cells["t"]).groupby(cells[d]).sum(), want, rtol=1e-3)
+    report = mixing.target_report(raked).toPandas()
+    assert np.allclose(report["reachable"], report["expected"], atol=1e-3) and len(report) == 9
+    if budget == 0.8:
+        assert (cells["p"] == 1).any() and not np.allclose(report["asked"], report["expected"], atol=1e-3)
+
+
+def test_water_level_against_bisection(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, f"c{i}", float(rng.integers(0, 50)), float(rng.choice([0.5, 1.0, 2.0, 7.0]))) for g in range(8) for i in range(12)]
+    df = spark.createDataFrame(rows, "g int, source string, a double, f double")
+    for share in (0.1, 0.5, 0.95):
+        got = mixing.water_level(df, ["g"], F.col("a"), F.col("a") * F.col("f"), F.lit(share) * F.lit(200.0)).groupBy("g").agg(F.max("_level").alias("x"), F.min("_level").alias("y")).toPandas()
+        for r in got.itertuples():
+            a = np.array([row[2] for row in rows if row[0] == r.g])
+            w = a * np.array([row[3] for row in rows if row[0] == r.g])
+            assert r.x == r.y
+            if a.sum() > share * 200:
+                assert abs(r.x - plain_level(a, w, share * 200)) < 1e-9 * r.x
 
 
 def test_mixing_defined_cases(spark):

@@ -32,7 +32,7 @@ TOPICS = (("credential", ("token = ", "TOKEN = ")), ("license", ("icensed under"
 SWEEPS = 12
 TEMPER = 0.5
 BUDGET = 0.5
-#: Cells up to this number are broadcast to the documents, more are joined by a shuffle.
+#: Cells up to this number are raked in one partition and broadcast to the documents, more are shuffled.
 BROADCAST_CELLS = 20_000
 
 
@@ -107,12 +107,14 @@ def reachable(cells: DataFrame, budget: float) -> DataFrame:
 def rake(cells: DataFrame, budget: float = BUDGET, sweeps: int = SWEEPS) -> DataFrame:
     """Columns ``factor`` (unbounded, 0 without tokens) and ``p`` (at most 1): the expected tokens t * p meet ``in_<dimension>``."""
     out = cut_lineage(reachable(cells, budget).withColumn("factor", F.when(F.col("t") > 0, 1.0).otherwise(0.0)))
-    for sweep in range(sweeps):
+    # a small table stays in one partition, so no step of a sweep has to shuffle it
+    small = out.count() <= BROADCAST_CELLS
+    for _ in range(sweeps):
+        out = out.coalesce(1) if small else out
         for d in DIMENSIONS:
             out = water_level(out, [d], F.col("t"), F.col("t") * F.col("factor"), F.col(f"in_{d}"))
             out = out.withColumn("factor", F.col("factor") * F.col("_level")).drop("_level")
-        if sweep % 3 == 2:
-            out = cut_lineage(out)
+        out = cut_lineage(out)
     return out.withColumn("p", F.least(F.lit(1.0), F.col("factor")))
 
 

@@ -80,6 +80,14 @@ def delimited_round_trip(spark, d):
     return SRC.read_delimited(spark, path, own.schema, "\t", line_breaks=False)
 
 
+def quoted_round_trip(spark, d):
+    """Texts with line breaks, separators and quotes of their own, written as delimited text and read back split by split."""
+    path = _folder(spark)
+    texts = V.table(spark, d, "documents").select("doc_id", F.concat(F.lit('<"\n'), F.coalesce("text", F.lit("")), F.lit(',\n\n">')).alias("text"))
+    SRC.write_delimited(texts, path)
+    return SRC.read_delimited(spark, path, texts.schema, ",").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
 def stage_round_trip(spark, d):
     """A stage table, partitioned by a column, stored and read back."""
     own = V.table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
@@ -104,7 +112,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fill_missing, complete_rows, several_vectors, length_normalised, largest_orders, shuffled_customers, tallied_struct, sentence_features,
-        delimited_round_trip, stage_round_trip, stored_once, offline_runs,
+        delimited_round_trip, quoted_round_trip, stage_round_trip, stored_once, offline_runs,
     )
 }
 
@@ -130,6 +138,7 @@ a AS (SELECT story_id, CASE WHEN count(*) = count(d) THEN avg(d) END AS am FROM
 SELECT story_id, num_sentences, round(cm, 6) AS hashed_consecutive_cosine_sentences_similarity_mean, round(cx, 6) AS hashed_consecutive_cosine_sentences_similarity_max,
   round(am, 6) AS hashed_all_cosine_sentences_similarity_mean FROM (SELECT doc_id AS story_id, len(s)::BIGINT AS num_sentences FROM sent WHERE len(s) > 2) JOIN c USING (story_id) JOIN a USING (story_id)""",
     "delimited_round_trip": "SELECT s_suppkey, s_name, s_acctbal::DOUBLE AS s_acctbal FROM supplier",
+    "quoted_round_trip": """SELECT doc_id, sha256('<"' || chr(10) || coalesce(text, '') || ',' || chr(10) || chr(10) || '">') AS text_sha256 FROM documents""",
     "stage_round_trip": "SELECT n_nationkey, n_name, n_regionkey FROM nation",
     "stored_once": "SELECT r_regionkey, r_name FROM region",
     "offline_runs": "SELECT doc_id, 'base' AS llm_model, sha256(text) AS altered_text, 0 AS nb_paraphrase_max, 'absent' AS paraphase_type FROM documents",

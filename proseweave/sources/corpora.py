@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .quoted import read_quoted
+
 # Field names of the files and the marker found in broken ones.
 RUN_FIELDS = ["prompt", "generated_text", "model_name", "temperature", "num_beams", "index_paraphrase", "paraphrase_type", "altered_text"]
 END_MARKER = "endoftextIllustration"
@@ -39,10 +41,13 @@ def separator_of(spark: SparkSession, path: str) -> str:
 
 
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str | None = None, line_breaks: bool = True) -> DataFrame:
-    """A delimited file with a header. Without a schema all columns are strings: nothing is inferred, so the file
-    is read once. ``line_breaks`` allows quoted line breaks inside fields, at the price of one task per file: turn it
-    off for files written from flattened texts."""
-    reader = spark.read.options(header=True, sep=sep or separator_of(spark, path), multiLine=line_breaks, quote='"', escape='"')
+    """A delimited file with a header. Without a schema all columns are strings, nothing is inferred.
+    ``line_breaks`` allows quoted line breaks inside fields: a pass over the quotes finds where records
+    begin, so a file is still read by many tasks; turn it off for files written from flattened texts, which are read once."""
+    sep = sep or separator_of(spark, path)
+    if line_breaks:
+        return read_quoted(spark, path, sep, schema)
+    reader = spark.read.options(header=True, sep=sep, quote='"', escape='"')
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 
 

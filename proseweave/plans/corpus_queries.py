@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -12,7 +14,9 @@ from ..operators import review as R
 from ..operators import syntax as X
 from ..operators import tables as TB
 from ..operators.ordered import melt
+from ..session import ensure_checkpoint_dir
 from ..sources import corpora as SRC
+from ..streaming import resumable as RS
 from . import sqltext as S
 from . import views as V
 from .text_queries import _pair
@@ -221,6 +225,18 @@ def resume_batches(spark, d):
     return TB.not_done(docs, V.table(spark, d, "labels"), "doc_id")
 
 
+def ordered_batches(spark, d):
+    """Documents enriched in batches, labelled ones by an earlier run; the number of each in the order they were taken."""
+    docs = V.table(spark, d, "documents").select("doc_id", "text")
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/ordered-{uuid.uuid4()}"
+    enrich = lambda rows: rows.select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+    size = docs.count() // 3 + 1
+    RS.enrich_in_order(TB.keep_ids(docs, V.table(spark, d, "labels"), "doc_id"), enrich, path, "doc_id", ["doc_id"], size)
+    RS.enrich_in_order(docs, enrich, path, "doc_id", ["doc_id"], size)
+    return RS.committed_rows(spark, path).select("doc_id", "text_sha256", "order_number")
+
+
 def kept_ids(spark, d):
     docs = V.table(spark, d, "documents").select("doc_id", "lang")
     return TB.keep_ids(docs, V.table(spark, d, "labels").where("quality = 1"), "doc_id")
@@ -312,7 +328,7 @@ QUERIES = {
         simulation_grid, drawn_temperatures, sweep_grid, heavy_tail_weights, heavy_tail_pick, paraphrase_inserted_online,
         paraphrase_inserted_offline, paraphrase_flags, control_corpus, aggregated_corpus, enriched_corpus, labelled_corpus,
         five_part_story, effective_text, marked_text, repaired_rows, row_composites, density_composites, composites_long,
-        condition_self_join, subject_means, text_merge, aligned_update, resume_batches, kept_ids, side_by_side, value_counts,
+        condition_self_join, subject_means, text_merge, aligned_update, resume_batches, ordered_batches, kept_ids, side_by_side, value_counts,
         summary_table, top_documents, fixed_sample, stacked_frames, distinct_rows, long_form, difference_report, review_queue,
         review_verdicts, review_progress, sentence_view, syntax_domains,
     )
@@ -454,6 +470,8 @@ SELECT a.doc_id, CAST(len(string_split(a.text, ' ')) AS INTEGER) AS W, count(*)
     "aligned_update": """
 SELECT doc_id, coalesce(CASE WHEN quality = 1 THEN toxic * 100.0 END, CAST(n_chars AS DOUBLE)) AS x FROM documents LEFT JOIN labels USING (doc_id)""",
     "resume_batches": "SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "ordered_batches": """
+SELECT doc_id, sha256(text) AS text_sha256, row_number() OVER (ORDER BY doc_id NOT IN (SELECT doc_id FROM labels), doc_id) - 1 AS order_number FROM documents""",
     "kept_ids": "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "side_by_side": "SELECT doc_id, lang, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id)",
     "value_counts": "SELECT source, count(*) AS count FROM documents GROUP BY source",

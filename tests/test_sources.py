@@ -61,6 +61,40 @@ def test_resumable_batches(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
 
 
+def test_batches_in_order_survive_a_break(spark, tmp_path, monkeypatch):
+    from proseweave.streaming import resumable as B
+
+    src, path = spark.range(23).withColumn("x", F.col("id") * 7 % 23).repartition(5), str(tmp_path / "b")
+    enrich = lambda d: d.withColumn("y", F.col("x") + 1)
+    commit, calls = B._commit, []
+
+    def breaks(*args):
+        calls.append(args)
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        commit(*args)
+
+    monkeypatch.setattr(B, "_commit", breaks)
+    with pytest.raises(RuntimeError):
+        B.enrich_in_order(src, enrich, path, "id", ["x"], 4)
+    # the third batch is written but not committed
+    assert len(list((tmp_path / "b" / "data").iterdir())) == 3
+    assert [r["x"] for r in B.committed_rows(spark, path).orderBy("order_number").collect()] == list(range(8))
+    monkeypatch.setattr(B, "_commit", commit)
+    assert B.enrich_in_order(src, enrich, path, "id", ["x"], 4) == 15
+    assert B.enrich_in_order(src, enrich, path, "id", ["x"], 4) == 0
+    rows = B.committed_rows(spark, path).orderBy("order_number").collect()
+    assert [(r["order_number"], r["x"], r["y"]) for r in rows] == [(i, i, i + 1) for i in range(23)]
+    assert [tuple(r) for r in B.manifest(spark, path).orderBy("batch").select("batch", "first", "n").collect()] == [(0, 0, 4), (1, 4, 4), (2, 8, 4), (3, 12, 4), (4, 16, 4), (5, 20, 3)]
+    # later rows go on behind, whatever their place; a batch that loses rows is not committed
+    more = src.union(spark.createDataFrame([(99, -1)], "id long, x long"))
+    with pytest.raises(ValueError):
+        B.enrich_in_order(more, lambda d: d.where("x > 0"), path, "id", ["x"], 4)
+    assert B.enrich_in_order(more, enrich, path, "id", ["x"], 4) == 1
+    assert B.committed_rows(spark, path).where("order_number = 23").first()["id"] == 99
+    assert B.enrich_in_order(src.where("id < 0"), enrich, str(tmp_path / "none"), "id", ["x"]) == 0
+
+
 def test_offline_insertion_rejects_bad_positions(spark):
     df = spark.createDataFrame([(1, "a. b. c", [1, 2]), (2, "a. b", [9, 1])], "id int, text string, index_paraphrase array<int>")
     para = lambda s: s.select("sentence", F.upper("sentence").alias("paraphrase"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import text as T
+from ..session import cut_lineage
 from .cleaning import drop_linked
 
 Paraphraser = Callable[[DataFrame], DataFrame]
@@ -86,7 +87,9 @@ def offline_position(pieces: Column, u: Column) -> tuple[Column, Column]:
 
 def paraphrase_distinct(df: DataFrame, sentence: str, paraphraser: Paraphraser) -> DataFrame:
     """Add ``paraphrase``; each distinct sentence is paraphrased once (lookup table or
-    ``mapInPandas`` around a model). Rows without a sentence keep a null."""
+    ``mapInPandas`` around a model). Rows without a sentence keep a null. The rows are stored first, as they are read
+    three times: what led to them, such as the sentence splitter, runs once."""
+    df = cut_lineage(df)
     todo = df.where(F.col(sentence).isNotNull()).select(F.col(sentence).alias("sentence")).distinct()
     done = paraphraser(todo).select(F.col("sentence").alias(sentence), "paraphrase")
     # rows without a sentence (most rows of an online run) never meet the join, where they would share one key

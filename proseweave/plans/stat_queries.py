@@ -185,13 +185,28 @@ def marginal_r2(spark, d):
     return rnd(G.marginal_r2(V.features(spark, d), "l_extendedprice", ["l_quantity", "l_discount"]), ["predictor"], ["contribution", "total_R2"])
 
 
+def variance_report(spark, d):
+    """All tables of the report in long form; residuals by their share of the target's variance."""
+    t = G.variance_report(V.spread_features(spark, d), "l_extendedprice", ["l_quantity", "l_discount"])
+    row = lambda section, name, value: [F.lit(section).alias("section"), name.alias("name"), F.round(value, 5).alias("value")]
+    unexplained = F.avg(F.pow("semantic_residual", F.lit(2.0))) / F.var_pop("l_extendedprice")
+    out = t["correlations"].select(*row("correlation", c("y"), c("r")))
+    out = out.unionByName(t["added"].select(*row("added", c("term"), c("delta_R2"))))
+    # a slope is told in standard deviations, so that its digits do not depend on the units
+    sd = V.features(spark, d).agg(*[F.stddev_pop(n).alias(n) for n in ("l_quantity", "l_discount", "l_extendedprice")]).first()
+    for n in ("l_quantity", "l_discount"):
+        out = out.unionByName(t["coefficients"].where(c("term") == n).select(*row("slope", F.lit(n), c("coef") * F.lit(sd[n] / sd["l_extendedprice"]))))
+    out = out.unionByName(t["residuals"].agg(unexplained.alias("v")).select(*row("residual", F.lit("unexplained"), c("v"))))
+    return out.unionByName(t["shares"].select(*row("share", c("predictor"), c("contribution"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         average_ranks, pearson_table, spearman_table, spearman_with_gaps, kendall_table, correlation_matrix, top_correlations,
         ttest_p, ranksum_p, correlation_p, anova_effects, spearman_matrix, reliability_table, correlation_tests, adjusted_correlations, ranksum_table, ttest_table, cohen_table, anova_table, significant_anova, bh_adjust,
         icc21, icc_summary, condition_reliability, zscore, robust_scale, shift_non_negative, ols_coefficients, ols_added_variance,
-        ols_residuals, marginal_r2,
+        ols_residuals, marginal_r2, variance_report,
     )
 }
 
@@ -342,4 +357,12 @@ SELECT l_orderkey, l_linenumber, round(l_extendedprice - a - b * l_quantity, 2)
     "marginal_r2": f"""WITH {_TWO}
 SELECT 'l_quantity' AS predictor, round((r1 + rf - r2) / 2, 6) AS contribution, round(rf, 6) AS total_R2 FROM q
 UNION ALL SELECT 'l_discount', round((r2 + rf - r1) / 2, 6), round(rf, 6) FROM q""",
+    "variance_report": f"""WITH {_TWO}
+"""
+    + _union(f"SELECT 'correlation' AS section, '{x}' AS name, round(corr(a, b), 5) AS value FROM (SELECT {_RANK('l_extendedprice')} AS a, {_RANK(x)} AS b FROM lineitem)" for x in ("l_quantity", "l_discount"))
+    + """
+UNION ALL SELECT 'added', 'syntax_block', round(rf, 5) FROM q
+UNION ALL SELECT 'slope', 'l_quantity', round(b1 * sqrt(s11 / syy), 5) FROM q UNION ALL SELECT 'slope', 'l_discount', round(b2 * sqrt(s22 / syy), 5) FROM q
+UNION ALL SELECT 'residual', 'unexplained', round(1 - rf, 5) FROM q
+UNION ALL SELECT 'share', 'l_quantity', round((r1 + rf - r2) / 2, 5) FROM q UNION ALL SELECT 'share', 'l_discount', round((r2 + rf - r1) / 2, 5) FROM q""",
 }

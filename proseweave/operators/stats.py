@@ -141,7 +141,8 @@ def ranksum_table(df: DataFrame, targets: list[str], features: list[str], thresh
     counted = long.groupBy("feature", "x", "y", "value").agg(F.sum("g").alias("ones"))
     ranked = counted.join(rank_table(long).select("feature", "value", "avg_rank", "total"), ["feature", "value"])
     sums = ranked.groupBy("x", "y").agg(F.sum(F.col("ones") * F.col("avg_rank")).alias("r1"), F.sum("ones").alias("n1"), F.max("total").alias("N"))
-    n1, n0 = F.col("n1"), F.col("N") - F.col("n1")
+    # in doubles: the product below leaves a long at a few million rows
+    n1, n0 = F.col("n1").cast("double"), (F.col("N") - F.col("n1")).cast("double")
     z = (F.col("r1") - n1 * (F.col("N") + 1) / 2) / F.sqrt(n1 * n0 * (F.col("N") + 1) / 12.0)
     effect = _pooled(_two_levels(group_moments(df, targets, features), "1", "0")).select("x", "y", F.col("d").alias("cohen"))
     t = sums.where((n1 > 0) & (n0 > 0)).withColumn("stats", z).join(effect, ["x", "y"])

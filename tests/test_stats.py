@@ -156,3 +156,15 @@ def test_feature_groups(spark):
     assert ic.count() == 4
     with pytest.raises(ValueError):
         feature_groups.by_nmf(df.withColumn("a", -F.col("a")), ["a", "b"], 1)
+
+
+def test_ranksum_of_counts_beyond_a_long(spark):
+    # n1 * n0 * (N + 1) of ten million rows is beyond 2^63
+    n = 10_000_000
+    df = spark.range(n).select((F.col("id") % 2).alias("g"), (F.col("id") % 5).cast("double").alias("v"))
+    row = stats.ranksum_table(df, ["g"], ["v"], None).first()
+    counts = np.full(5, n // 5)
+    ranks = np.cumsum(counts) - counts + (counts + 1) / 2
+    r1 = float((ranks * n / 10).sum())  # half of every value's rows are of group 1
+    want = (r1 - n / 2 * (n + 1) / 2) / math.sqrt(n / 2 * (n / 2) * (n + 1) / 12)
+    assert row.stats == pytest.approx(want, abs=1e-6) and row.pval == pytest.approx(T.norm_two_sided(want), abs=1e-6)

@@ -92,7 +92,9 @@ def sentences(text: Column) -> Column:
     for is_regex, search, repl in split_rules():
         if is_regex:
             unicode_space = "(?U)" if "\\s" in search else ""
-            t = F.regexp_replace(t, unicode_space + search, repl)
+            # most places are ruled out by their first letter, before any title is tried
+            first = "(?=[DMS])" if search == TITLES else ""
+            t = F.regexp_replace(t, unicode_space + first + search, repl)
         else:
             t = F.replace(t, F.lit(search), F.lit(repl))
     parts = F.transform(F.split(t, BREAK, -1), _trim)

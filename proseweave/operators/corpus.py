@@ -156,9 +156,10 @@ CONTROL_COLUMNS = [
 ]
 
 
-def control_corpus(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """The same texts with their paraphrase taken out; texts without one are dropped."""
-    split = T.with_sentences(df, "altered_text")
+def control_corpus(df: DataFrame, keep: list[str] | None = None, sentences: str | None = None) -> DataFrame:
+    """The same texts with their paraphrase taken out; texts without one are dropped. ``sentences`` names a column that
+    holds the sentences of ``altered_text`` already, so that the splitter need not run again."""
+    split = df.withColumn("sentences", F.col(sentences)) if sentences else T.with_sentences(df, "altered_text")
     names = [c for c in (keep or CONTROL_COLUMNS) if c in split.columns]
     out = split.select(*names, remove_paraphrase(F.col("sentences"), F.col("clean_paraphrase_index")).alias("altered_text"))
     return out.where(F.col("altered_text").isNotNull())
@@ -185,9 +186,11 @@ def aggregate_corpora(runs: DataFrame) -> DataFrame:
     )
 
 
-def enrich(aggregated: DataFrame, control: DataFrame, stories: DataFrame | None = None, low: int | None = None, high: int | None = None) -> DataFrame:
+def enrich(aggregated: DataFrame, control: DataFrame, stories: DataFrame | None = None, low: int | None = None, high: int | None = None,
+           sentences: str | None = None) -> DataFrame:
     """Stack altered texts, their controls and optional outside stories with provenance columns.
-    ``low``/``high`` bound the sentence count (strict)."""
+    ``low``/``high`` bound the sentence count (strict). ``sentences`` names a column of ``aggregated`` that holds the
+    sentences of its ``altered_text`` already; the other texts are new and are split here."""
     from ..functions.predicates import in_window
 
     parts = [
@@ -196,10 +199,16 @@ def enrich(aggregated: DataFrame, control: DataFrame, stories: DataFrame | None
     ]
     if stories is not None:
         parts.append(stories.withColumns({"source": F.lit("story"), "had_paraphrase": F.lit(False), "clean_paraphase_type": F.lit(0)}))
+    held = []
+    if sentences:
+        held.append(parts.pop(0).withColumn("sentences", F.col(sentences)))
     out = parts[0].drop("sentences")
     for p in parts[1:]:
         out = out.unionByName(p.drop("sentences"), allowMissingColumns=True)
-    out = T.with_sentences(out, "altered_text").withColumn("num_sentences", F.size("sentences"))
+    out = T.with_sentences(out, "altered_text")
+    for p in held:
+        out = p.unionByName(out, allowMissingColumns=True)
+    out = out.withColumn("num_sentences", F.size("sentences"))
     return out.where(in_window(F.col("num_sentences"), low, high))
 
 

@@ -14,7 +14,7 @@ from ..operators import review as R
 from ..operators import syntax as X
 from ..operators import tables as TB
 from ..operators.ordered import melt
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import corpora as SRC
 from ..streaming import resumable as RS
 from . import sqltext as S
@@ -101,7 +101,7 @@ def paraphrase_flags(spark, d):
 
 def control_corpus(spark, d):
     runs = _pair(_split(spark, d)).withColumnRenamed("idx", "clean_paraphrase_index")
-    return K.control_corpus(runs, ["story_id", "prompt"])
+    return K.control_corpus(runs, ["story_id", "prompt"], "sentences")
 
 
 def aggregated_corpus(spark, d):
@@ -116,10 +116,11 @@ def aggregated_corpus(spark, d):
 def enriched_corpus(spark, d):
     """Altered texts with their controls and outside stories, sentence count per provenance."""
     agg = _pair(_split(spark, d)).withColumnRenamed("idx", "clean_paraphrase_index").withColumn("clean_paraphase_type", F.lit(1))
-    agg = agg.select("story_id", "prompt", "altered_text", "clean_paraphrase_index", "clean_paraphase_type")
-    control = K.control_corpus(agg, ["story_id", "prompt"])
+    # read twice, as it is and without its paraphrases: the texts are split once
+    agg = cut_lineage(agg.select("story_id", "prompt", "sentences", "clean_paraphrase_index", "clean_paraphase_type"))
+    control = K.control_corpus(agg, ["story_id", "prompt"], "sentences")
     other = V.table(spark, d, "benchmark").select(c("item_id").alias("story_id"), c("text").alias("altered_text"))
-    e = K.enrich(agg, control, other, low=2, high=20)
+    e = K.enrich(agg, control, other, low=2, high=20, sentences="sentences")
     return e.groupBy("source", "had_paraphrase", "clean_paraphase_type").agg(
         F.count(F.lit(1)).alias("n"), F.sum("num_sentences").alias("sentences"), F.count("prompt").alias("with_prompt")
     )

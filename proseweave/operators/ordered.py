@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
+#: Ranks of a column that are broadcast (about 16 bytes each).
+FEW_RANKS = 10_000
+
+
 def in_ranges(df: DataFrame, *keys: str) -> DataFrame:
     """The rows dealt in ranges of ``keys`` and stored; ``_part`` numbers the ranges in order."""
     return cut_lineage(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
@@ -83,16 +87,29 @@ def numbered(df: DataFrame, *order: str, out: str = "number") -> DataFrame:
 def with_ranks(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Add average ranks (``columns``: source -> new name); null where the value is missing.
 
-    One rank pass for all columns, then one equi-join per column on the value. A column of few
-    distinct values has a tiny rank table, which Spark broadcasts by measured size; a value shared by
-    many rows is a skewed join key, which AQE splits.
+    One rank pass for all columns, stored, then one equi-join per column on the value. Values that many rows share never are
+    keys of a shuffle: a column's ranks are broadcast if there are at most ``FEW_RANKS`` of them, and of another column those
+    of the ``FEW_RANKS`` most frequent values; only rows of its rarer values are dealt by value.
     """
-    ranks = rank_table(melt(df, [], list(columns)))
+    ranks = cut_lineage(rank_table(melt(df, [], list(columns))))
+    sizes = {r["feature"]: r["n"] for r in ranks.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = df
-    for c, new in columns.items():
-        r = ranks.where(F.col("feature") == c).select(F.col("value").alias("_v"), F.col("avg_rank").alias(new))
-        out = out.join(r, F.col(f"`{c}`").cast("double") == F.col("_v"), "left").drop("_v")
-    return out
+    # the wide ones first, while the rows are narrow
+    for c, new in sorted(columns.items(), key=lambda item: -sizes.get(item[0], 0)):
+        r = ranks.where(F.col("feature") == c).select(F.col("value").alias("_v"), F.col("avg_rank").alias(new), "n")
+        x = F.col(f"`{c}`").cast("double")
+        if sizes.get(c, 0) <= FEW_RANKS:
+            out = out.join(F.broadcast(r.drop("n")), x == F.col("_v"), "left").drop("_v")
+            continue
+        often = r.orderBy(F.desc("n"), "_v").limit(FEW_RANKS).select(F.col("_v").alias("_often"), F.col(new).alias("_often_rank"))
+        out = out.join(F.broadcast(often), x == F.col("_often"), "left")
+        # a row that has its rank, or no value, gets a key of its own kind that spreads over all tasks
+        rare = F.when(F.col("_often").isNull(), x)
+        dealt = out.withColumn("_rare", rare).withColumn("_deal", F.when(F.col("_rare").isNull() | F.isnan("_rare"), F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long")))
+        keyed = r.select("_v", new, F.lit(-1).cast("long").alias("_one"))
+        met = dealt.join(keyed, (F.col("_rare") == F.col("_v")) & (F.col("_deal") == F.col("_one")), "left")
+        out = met.withColumn(new, F.coalesce("_often_rank", new)).drop("_v", "_one", "_rare", "_deal", "_often", "_often_rank")
+    return out.select(*df.columns, *columns.values())
 
 
 def melt(df: DataFrame, keys: list[str], columns: list[str], name: str = "feature", value: str = "value") -> DataFrame:

@@ -168,3 +168,23 @@ def test_ranksum_of_counts_beyond_a_long(spark):
     r1 = float((ranks * n / 10).sum())  # half of every value's rows are of group 1
     want = (r1 - n / 2 * (n + 1) / 2) / math.sqrt(n / 2 * (n / 2) * (n + 1) / 12)
     assert row.stats == pytest.approx(want, abs=1e-6) and row.pval == pytest.approx(T.norm_two_sided(want), abs=1e-6)
+
+
+def test_ranks_of_few_values_come_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "FEW_RANKS", 5)
+    pdf, _ = frame(spark, 400)
+    pdf["h"] = np.where(pdf["x"] > 0.5, 7.0, pdf["y"])  # one value holds much of a column of many
+    rows = [(None if k % 50 == 0 else r.x, r.y, float(r.g), r.h) for k, r in enumerate(pdf.itertuples())]
+    df = spark.createDataFrame(rows, "x double, y double, g double, h double").repartition(5)
+    got = ordered.with_ranks(df, {c: f"r_{c}" for c in "xygh"})
+    assert got.columns == ["x", "y", "g", "h", "r_x", "r_y", "r_g", "r_h"]
+    found = got.toPandas()
+    for c in "xygh":
+        assert np.allclose(found[f"r_{c}"], found[c].rank(), equal_nan=True)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = ordered.with_ranks(df.select("g"), {"g": "r"})._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan

@@ -59,3 +59,28 @@ def test_a_vector_travels_once_for_a_block(spark, vocabulary):
 def test_a_token_with_two_vectors_is_an_error(spark, tokens, vocabulary):
     with pytest.raises(Exception, match="unique"):
         E.word_means(tokens, vocabulary.unionByName(vocabulary), 4).collect()
+
+
+def test_prices_are_mended_where_the_tree_changed():
+    from proseweave.functions import kernels as K
+
+    looked = []
+
+    class Costs(list):
+        def __getitem__(self, k):
+            looked.append(k)
+            return super().__getitem__(k)
+
+    words = RNG.normal(size=(160, 6))
+    wa, wb = (RNG.integers(1, 9, 80).astype(float) for _ in "ab")
+    costs = K.word_costs(words[:80], words[80:])
+
+    class Matrix(np.ndarray):
+        def tolist(self):
+            return Costs(np.asarray(self).tolist())
+
+    got = K.exact_transport(costs.view(Matrix), wa, wb)
+    assert got == pytest.approx(K.exact_transport(costs, wa, wb))
+    # a price for every node once, then parts of the tree: far from all 160 nodes for each of the pivots
+    many = len(looked) / 160
+    assert 1 <= many < 60

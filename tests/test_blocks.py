@@ -56,9 +56,16 @@ def test_a_vector_travels_once_for_a_block(spark, vocabulary):
     assert len(found) == 200 and {r.held for r in found} == {1}
 
 
-def test_a_token_with_two_vectors_is_an_error(spark, tokens, vocabulary):
-    with pytest.raises(Exception, match="unique"):
-        E.word_means(tokens, vocabulary.unionByName(vocabulary), 4).collect()
+def test_a_token_with_two_vectors_counts_with_both(spark, vocabulary):
+    few = spark.createDataFrame([(1, 0, ["w1", "w2", "w1"]), (1, 1, ["w2", "w3"])], "story_id long, pos long, tokens array<string>")
+    twice = vocabulary.where("vec is not null").unionByName(vocabulary.where("token = 'w1'").withColumn("vec", F.transform("vec", lambda x: -2 * x)))
+    vec = {r.token: np.array(r.vec) for r in vocabulary.collect() if r.vec}
+    got = {r.pos: r.vec for r in E.word_means(few, twice, 4).collect()}
+    assert np.allclose(got[0], (2 * vec["w1"] - 4 * vec["w1"] + vec["w2"]) / 5) and np.allclose(got[1], (vec["w2"] + vec["w3"]) / 2)
+    for metric in ("wmd", "wmd_relaxed"):
+        own = D.consecutive_words(E.token_bags(few), twice, metric).first().d
+        a, b = (np.array([vec["w1"], -2 * vec["w1"], vec["w2"]]), np.array([2.0, 2, 1])), (np.array([vec["w2"], vec["w3"]]), np.array([1.0, 1]))
+        assert own == pytest.approx(D._mover(a, b, metric == "wmd"), abs=1e-7)
 
 
 def test_prices_are_mended_where_the_tree_changed():

@@ -48,3 +48,14 @@ def test_the_splitter_runs_once_for_each_text(spark, runs, monkeypatch):
     assert not seen
     K.enrich(runs, control, None, sentences="held")
     assert len(seen) == 1  # the controls are new texts
+
+
+def test_sentence_features_read_stored_sentences(spark):
+    from proseweave.operators import compose, encode
+
+    stories = spark.createDataFrame([(1, "One two. Two three. Three one. Two."), (2, "Just one."), (3, None)], "story_id long, altered_text string")
+    encoder = lambda df: df.select("sentence", encode.hashed_bag(T.word_tokens(F.col("sentence")), 8).alias("vec"))
+    out = compose.sentence_features(stories, {"hashed": encoder})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan and "regexp_extract_all" not in plan
+    assert [(r.story_id, r.num_sentences) for r in out.collect()] == [(1, 4)]

@@ -91,3 +91,16 @@ def test_prices_are_mended_where_the_tree_changed():
     # a price for every node once, then parts of the tree: far from all 160 nodes for each of the pivots
     many = len(looked) / 160
     assert 1 <= many < 60
+
+
+@pytest.mark.parametrize("metric", ["wmd", "wmd_relaxed"])
+def test_all_pairs_of_bags_without_vectors(spark, tokens, vocabulary, metric, monkeypatch):
+    monkeypatch.setattr(E, "BLOCK_TOKENS", 20)
+    rows = tokens.where("story_id is not null")
+    want = {r.story_id: r for r in D.pair_summary(E.word_bags(rows, vocabulary), metric, block=3).collect()}
+    got = {r.story_id: r for r in D.pair_summary(E.token_bags(rows), metric, block=3, vocabulary=vocabulary).collect()}
+    plain = {r.story_id: r for r in D.pair_summary(E.word_bags(rows, vocabulary), metric).collect()}
+    assert got.keys() == want.keys() == plain.keys() and len(got) == 8
+    for story, r in plain.items():
+        for other in (got[story], want[story]):
+            assert all(other[c] is None if v is None else other[c] == pytest.approx(v, abs=1e-7) for c, v in r.asDict().items()), (story, r, other)

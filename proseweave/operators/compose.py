@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import cut_lineage
+from ..session import store
 from . import cleaning as CL
 from . import corpus as K
 from . import distances as D
@@ -49,9 +49,9 @@ def sentence_features(stories: DataFrame, encoders: dict[str, Encoder], key: str
     model, and summarise the distances: one row per story, stories of any length. Sentences and vectors are stored, as the
     distances read them many times: the splitter and the encoders run once."""
     split = T.with_sentences(stories.select(key, text), text).withColumn("num_sentences", F.size("sentences"))
-    kept = cut_lineage(split.where(F.col("num_sentences") > more_than).select(key, "sentences", "num_sentences"))
+    kept = store(split.where(F.col("num_sentences") > more_than).select(key, "sentences", "num_sentences"))
     rows = kept.select(key, F.posexplode("sentences").alias("pos", "sentence"))
-    encoded = {name: cut_lineage(encode_distinct(rows, encoder, (key, "pos"))) for name, encoder in encoders.items()}
+    encoded = {name: store(encode_distinct(rows, encoder, (key, "pos"))) for name, encoder in encoders.items()}
     wide = D.feature_table(encoded, metrics, key)
     return kept.select(key, "num_sentences").join(wide, key)
 

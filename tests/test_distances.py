@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -128,3 +129,36 @@ def test_wide_features_names(spark):
     assert "w2v_consecutive_cosine_sentences_similarity_std" in w.columns
     lone = w.where(F.col("story_id") == 2).first()
     assert lone["w2v_all_cosine_sentences_similarity_mean"] == 1.0 and lone["w2v_consecutive_cosine_sentences_similarity_std"] == 0.0
+
+
+def test_cells_of_long_stories_leave_in_bounded_batches(monkeypatch):
+    """All tiles of an Arrow batch together, as lists of rows, once filled an executor."""
+    monkeypatch.setattr(D, "CELL_ROWS", 500)
+    want, tiles = [{"lo": 0.0, "width": 2.0, "bins": 1 << 40}, {"lo": 0.5, "width": 0.25, "bins": 4}], [RNG.uniform(0, 1.9, 400) for _ in range(30)]
+    looked = []
+    made = D._cell_batches(pa.array(range(30)), [want] * 30, (looked.append(0) or d for d in tiles), "story_id")
+    first = next(made)
+    assert len(looked) == 2 and first.num_rows <= 500 + 404  # two tiles were enough for a batch
+    rows = pa.Table.from_batches([first, *made]).to_pandas()
+    assert len(rows) > 12000
+    for k, d in enumerate(tiles):
+        own = rows[(rows.story_id == k) & (rows["at"] == 0)]
+        assert own.n.sum() == 400 and sorted(own.low) == sorted(d)
+        coarse = rows[(rows.story_id == k) & (rows["at"] == 1)]
+        assert len(coarse) == 4 and coarse.n.sum() == ((d >= 0.5) & (d < 0.75)).sum()
+
+
+@pytest.mark.parametrize("metric", ["cosine", "jaccard"])
+def test_median_of_a_long_story_in_two_rounds(spark, monkeypatch, metric):
+    seen = []
+    monkeypatch.setattr(D, "cut_lineage", lambda df, plain=D.cut_lineage: (seen.append(df.columns), plain(df))[1])
+    if metric == "cosine":
+        rows = RNG.normal(size=(120, 4))
+        long, want = table(spark, {1: rows, 2: rows[:9]}), np.median(pairs(rows))
+    else:
+        tokens = [[f"w{k}" for k in RNG.integers(0, 30, 12)] for _ in range(50)]
+        long = spark.createDataFrame([(1, k, t) for k, t in enumerate(tokens)], "story_id long, pos long, tokens array<string>")
+        want = np.median([K.multiset_jaccard(a, b) for k, a in enumerate(tokens) for b in tokens[:k]])
+    got = {r.story_id: r for r in D.pair_summary(long, metric, block=20).collect()}
+    assert got[1]["median"] == pytest.approx(want, abs=1e-9)
+    assert 1 <= sum("acc" in c for c in seen) <= 2  # the distances of a cell are told apart at once

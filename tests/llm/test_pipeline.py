@@ -151,3 +151,14 @@ def test_null_ids_are_decided_by_their_component(spark, docs):
     frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema)
     kept = dict(P.STAGES)["near_duplicates"](spark, frame, SF).collect()
     assert sorted((r.text, r.doc_id) for r in kept) == [("a b c d e f", 4), ("k l m n o p", None), ("u v w x y z", None)]
+
+
+def test_texts_that_meet_no_other_stay_where_they_are(spark, monkeypatch):
+    texts = spark.range(3000).select((F.col("id") * (1 << 33) + 5).alias("node"), F.lit("t").alias("text"), F.lit("d").alias("digest"))
+    meetings = texts.where("node % 7 = 3").select(F.lit(1).alias("low"), F.lit(2).alias("high"), "node")
+    met = {r.node for r in meetings.collect()}
+    held = [r.node for r in nearcopies._wanted(texts, meetings.unionByName(meetings)).collect()]
+    assert len(held) == len(set(held)) <= len(met) + 3 and met <= set(held)
+    monkeypatch.setattr(nearcopies, "MARKS", 256)  # too few marks leave more in, never one out
+    assert met <= {r.node for r in nearcopies._wanted(texts, meetings).collect()}
+    assert nearcopies._wanted(texts, meetings.limit(0)).count() == 0
